@@ -6,8 +6,10 @@ import importlib
 
 #: Query name -> module.
 MODULES = {
+    "op2_sentencepiece": "sentencepiece_codec",
     "op3_mixing": "mixing",
     "op4_exact_dedup": "exact_dedup",
+    "op9_token_files": "token_files",
     "op10_url_filters": "url_filter",
 }
 
