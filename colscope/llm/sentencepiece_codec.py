@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from .bpe import Pairs, SHIFT, Words, merge
 from .common import ragged, table
@@ -256,7 +257,7 @@ def _texts(batch: pa.RecordBatch, col: str) -> list[str]:
 def encode(docs: DataFrame, model: str, text_col: str = "text", ids_col: str = "ids", end: bool = True) -> DataFrame:
     """docs with `ids_col` array<int>; it replaces a column of that name. A null text counts as empty; an empty one has the end id only, or no id."""
     keep = [c for c in docs.columns if c != ids_col]
-    schema = docs.select(*keep).schema.add(ids_col, "array<int>")
+    schema = docs.select(*keep).schema.add(ids_col, T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -274,7 +275,7 @@ def encode(docs: DataFrame, model: str, text_col: str = "text", ids_col: str = "
 def decode(rows: DataFrame, model: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """rows with `text_col`, which the ids spell; it replaces a column of that name. Null ids give an empty text."""
     keep = [c for c in rows.columns if c != text_col]
-    schema = rows.select(*keep).schema.add(text_col, "string")
+    schema = rows.select(*keep).schema.add(text_col, T.StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
