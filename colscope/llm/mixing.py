@@ -134,27 +134,29 @@ def with_copies(rows: DataFrame, decided: DataFrame) -> DataFrame:
     return rows.join(small(own), F.col("_source").eqNullSafe(F.col("_of"))).withColumn("copies", F.col("times") + once_more.cast("int")).drop("_of", "times", "rest", "upto", "gap", "extra")
 
 
-def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, share: float = 1.5, cap: float = 2.0, seed: int = 7) -> DataFrame:
-    """A row per row of docs with `_id`, `size`, `source_size`, `target`, `copies`.
+def mixture(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, share: float = 1.5, cap: float = 2.0, seed: int = 7) -> DataFrame:
+    """docs with `_size`, `source_size`, `target` and `_shards`, the output shard of each copy that the mix takes (empty: none).
 
     A null text has size 0, a null source is a source by itself and the last in order, a null id hashes as an empty one.
     A source whose texts are all empty has target 0. Rows that repeat id and text get equal decisions. Empty docs give
-    an empty result.
+    an empty result. Decisions reach the texts by broadcasts of the tables of sources and of their blocks, so that no
+    text is shuffled; beyond a checked size they are joined by a shuffle.
     """
-    rows = sized(docs.select(F.col(id_col), F.col(text_col), F.col(source_col)), id_col, text_col, source_col, seed)
-    sizes = written(rows.select(F.col(id_col).alias("_id"), "_source", "_size", "_h", "_key"), "sizes")
-    return with_copies(sizes, decide(sizes, weights, share, cap)).select("_id", F.col("_size").alias("size"), "source_size", "target", "copies")
-
-
-def mixed(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, share: float = 1.5, cap: float = 2.0, seed: int = 7) -> DataFrame:
-    """The mix itself: docs' columns, a row for each copy, `_shard` and `_order`, the place in the shard. Decisions reach the texts by a broadcast of the table of sources, so that no text is shuffled."""
     rows = sized(docs, id_col, text_col, source_col, seed)
     sizes = written(rows.select("_source", "_size", "_h", "_key"), "sizes")
     decided = decide(sizes, weights, share, cap)
-    units = written(shard_units(sizes, decided, shards, seed), "shards")
-    taken = with_copies(rows, decided).where("copies > 0").withColumn("_b", _block()).withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    placed = taken.join(small(units), F.col("_source").eqNullSafe(F.col("_of")) & (F.col("_b") == F.col("_block")) & (F.col("_c") == F.col("_copy")))
-    return placed.select(*[F.col(c) for c in docs.columns], F.col("shard").alias("_shard"), _hash(seed + 1, F.col(id_col), F.col("_c")).alias("_order"))
+    units = shard_units(sizes, decided, shards, seed)
+    # the shards of a block's first and second copies, in order
+    blocks = units.groupBy("_of", "_block").agg(F.transform(F.array_sort(F.collect_list(F.struct("_copy", "shard"))), lambda u: u["shard"]).alias("_all"))
+    placed = with_copies(rows, decided).join(small(written(blocks, "blocks")), F.col("_source").eqNullSafe(F.col("_of")) & (_block() == F.col("_block")), "left")
+    return placed.withColumn("_shards", F.slice(F.coalesce("_all", F.array().cast("array<int>")), F.lit(1), F.col("copies"))).drop("_of", "_block", "_all", "copies", "_source")
+
+
+def mixed(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, share: float = 1.5, cap: float = 2.0, seed: int = 7) -> DataFrame:
+    """The mix itself: docs' columns, a row for each copy, `_shard` and `_order`, the place in the shard."""
+    taken = mixture(docs, shards, id_col, text_col, source_col, weights, share, cap, seed)
+    copies = taken.select(*[F.col(c) for c in docs.columns], F.posexplode("_shards").alias("_c", "_shard"))
+    return copies.withColumn("_order", _hash(seed + 1, F.col(id_col), F.col("_c"))).drop("_c")
 
 
 def shuffled(mix: DataFrame, shards: int, parts: int = 4) -> DataFrame:
@@ -164,8 +166,8 @@ def shuffled(mix: DataFrame, shards: int, parts: int = 4) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixture(table(spark, sf_dir, "documents"))
-    return out.select(F.col("_id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
+    out = mixture(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return out.select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.size("_shards")).cast("long").alias("taken"))
 
 
 ORACLE = r"""

@@ -9,6 +9,10 @@ MODULES = {
     "op2_sentencepiece": "sentencepiece_codec",
     "op3_mixing": "mixing",
     "op4_exact_dedup": "exact_dedup",
+    "op5_toxicity": "toxicity",
+    "op6_line_dedup": "line_dedup",
+    "op7_warc": "warc",
+    "op8_nearest": "vp_search",
     "op9_token_files": "token_files",
     "op10_url_filters": "url_filter",
 }
