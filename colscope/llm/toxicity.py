@@ -26,9 +26,9 @@ PREFIXES = (3, 4, 5, 6, 7, 8)
 OFTEN, DENSE = (1, 2, 4, 8), (1 / 200, 1 / 50, 1 / 20)
 LEVELS = 8
 #: Features that the models use, at most, and the least chi-square that one must have with a category: chance alone hardly gives it to any of a million.
-FEATURES, LEAST_CHI_SQUARE = 4096, 30.0
+FEATURES, LEAST_CHI_SQUARE = 1024, 30.0
 #: Labelled documents that the models are fitted on, at most: those with the smallest hashes of their ids.
-MAX_TRAIN = 20_000
+MAX_TRAIN = 10_000
 FOLDS = 5
 #: (category, label expression: 1, 0 or null), in the chain's order; the last one is the verdict's.
 CATEGORIES = (("low_quality", "1 - quality"), ("toxic", "toxic"))
@@ -110,24 +110,26 @@ def logits(row: np.ndarray, col: np.ndarray, n: int, earlier: np.ndarray, w: np.
     return np.bincount(row, w[col], n) + odds(earlier) @ w[k:-1] + w[-1]
 
 
-def fit(row: np.ndarray, col: np.ndarray, y: np.ndarray, earlier: np.ndarray, n_features: int, steps: int = 300, l2: float = 1e-3, rate: float = 0.1) -> np.ndarray:
-    """Weights of a logistic regression by Adam over all rows; both classes weigh alike in total, but by the square root of their ratio only."""
-    n, more = len(y), earlier.shape[1]
-    w = np.zeros(n_features + more + 1)
-    share = max(1, int(y.sum())) / max(1, n)
-    if n == 0 or y.min() == y.max():
-        w[-1] = 0.0 if n == 0 else (8.0 if y.max() else -8.0)
-        return w
-    sample = np.where(y == 1, np.sqrt((1 - share) / share), 1.0)
-    sample /= sample.sum()
-    m, v = np.zeros_like(w), np.zeros_like(w)
-    e = odds(earlier)
+def fit(x: np.ndarray, y: np.ndarray, known: np.ndarray, steps: int = 200, l2: float = 1e-4, rate: float = 0.1) -> np.ndarray:
+    """Weights[feature, model] of logistic regressions, all fitted at once by Adam over the same rows; known[row, model] flags the rows that a model may see.
+
+    Of both classes the rarer weighs more, by the square root of their ratio. A model that sees one class only, or no
+    row, gets a constant.
+    """
+    w = np.zeros((x.shape[1], known.shape[1]), np.float32)
+    ones, n = (known * y[:, None]).sum(0), known.sum(0)
+    plain = (ones == 0) | (ones == n)
+    share = np.where(plain, 0.5, ones / np.maximum(n, 1))
+    sample = known * np.where(y[:, None] == 1, np.sqrt((1 - share) / share), 1.0)
+    sample = (sample / np.maximum(sample.sum(0), 1e-9)).astype(np.float32)
+    m, v, target = np.zeros_like(w), np.zeros_like(w), y[:, None].astype(np.float32)
     for t in range(1, steps + 1):
-        r = (sigmoid(logits(row, col, n, earlier, w)) - y) * sample
-        g = np.concatenate([np.bincount(col, r[row], n_features), e.T @ r, [r.sum()]])
-        g[:-1] += l2 * w[:-1] / 10
+        g = x.T @ ((sigmoid(x @ w) - target) * sample)
+        g[:-1] += l2 * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
+        w -= (rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
+    w[:, plain] = 0
+    w[-1, plain] = np.where(n == 0, 0.0, np.where(ones == 0, -8.0, 8.0))[plain]
     return w
 
 
@@ -199,24 +201,18 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[tuple[str, st
     lens = np.array([len(x) for x in cols], np.int64)
     row, col = np.repeat(np.arange(len(lens)), lens), cols.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
     fold = got["fold"].to_numpy()
-    weights, earlier = [], np.zeros((len(lens), 0))
+    n = len(lens)
+    x = np.zeros((n, len(kept)), np.float32)  # MAX_TRAIN x FEATURES at most
+    x[row, col] = 1
+    weights, earlier = [], np.zeros((n, 0))
     for c in names:
         label = got[f"_y_{c}"].to_pandas().to_numpy(dtype=np.float64, na_value=np.nan)
         known = ~np.isnan(label)
-
-        def fitted(mask, y=label, earlier=earlier):
-            at = np.cumsum(mask) - 1
-            own = mask[row]
-            return fit(at[row[own]], col[own], y[mask], earlier[mask], len(kept))
-
-        out_of_fold = np.zeros(len(lens))
-        for f in range(FOLDS):
-            mine = fold == f
-            if mine.any():
-                at = np.cumsum(mine) - 1
-                own = mine[row]
-                out_of_fold[mine] = sigmoid(logits(at[row[own]], col[own], int(mine.sum()), earlier[mine], fitted(known & ~mine)))
-        weights.append(fitted(known))
+        seen_by = np.column_stack([*[known & (fold != f) for f in range(FOLDS)], known])
+        full = np.column_stack([x, odds(earlier), np.ones(n)]).astype(np.float32)
+        w = fit(full, np.where(known, label, 0.0), seen_by)
+        weights.append(w[:, -1].astype(np.float64))
+        out_of_fold = sigmoid((full @ w)[np.arange(n), fold].astype(np.float64)) if n else np.zeros(0)
         earlier = np.column_stack([earlier, out_of_fold])
     return Chain(names, column, weights)
 
