@@ -6,6 +6,7 @@ import importlib
 
 #: Query name -> module.
 MODULES = {
+    "op1_near_dedup": "near_dedup",
     "op2_sentencepiece": "sentencepiece_codec",
     "op3_mixing": "mixing",
     "op4_exact_dedup": "exact_dedup",
@@ -19,7 +20,14 @@ MODULES = {
 
 
 def queries() -> dict:
-    return {name: getattr(importlib.import_module(f"{__package__}.{module}"), name) for name, module in MODULES.items()}
+    found = {name: getattr(importlib.import_module(f"{__package__}.{module}"), name) for name, module in MODULES.items()}
+    return found | {"pipeline": pipeline()}
+
+
+def pipeline():
+    import corpus_pipeline
+
+    return corpus_pipeline.run
 
 
 def oracle_sql() -> dict[str, str]:
