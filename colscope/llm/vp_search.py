@@ -79,30 +79,39 @@ class Tree:
         big = np.abs(queries).max(1, keepdims=True)
         self.qu = queries / np.linalg.norm(queries / big, axis=1, keepdims=True) / big
         n = len(queries)
-        self.found = [(np.zeros(0, np.int64), np.zeros(0, self.ids.dtype), np.zeros(0))] * n
+        self.best, self.best_id = np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
         self.worst = np.full(n, -np.inf)  # the k-th best cosine so far
         self.seen = 0
+        self.home = np.full(n, -1)  # the leaf that a query falls into; it is searched first, so that pruning begins with near vectors
         if len(self.vectors) and n:
+            self._descend(self.root, np.arange(n))
             self._walk(self.root, np.arange(n))
-        rows = np.repeat(np.arange(n), [len(f[1]) for f in self.found])
-        return rows, np.concatenate([f[1] for f in self.found]) if n else self.ids[:0], np.concatenate([f[2] for f in self.found]) if n else np.zeros(0)
+        rows, places = np.nonzero(self.best > -np.inf)
+        return rows, self.best_id[rows, places], self.best[rows, places]
 
-    def _walk(self, node: int, active: np.ndarray) -> None:
+    def _descend(self, node: int, active: np.ndarray) -> None:
+        if not len(active):
+            return
         if node < 0:
+            self.home[active] = ~node
             return self._leaf(self.leaves[~node], active)
+        v, _, hi_in, lo_out, _, inner, outer = self.nodes[node]
+        near = chord(self.qu[active] @ self.unit[v]) <= (hi_in + lo_out) / 2
+        self._descend(inner, active[near])
+        self._descend(outer, active[~near])
+
+    def _walk(self, node: int, active: np.ndarray) -> None:
+        if node < 0:
+            active = active[self.home[active] != ~node]
+            return self._leaf(self.leaves[~node], active) if len(active) else None
         v, lo_in, hi_in, lo_out, hi_out, inner, outer = self.nodes[node]
         d = chord(self.qu[active] @ self.unit[v])
-        near = d <= (hi_in + lo_out) / 2
-        for mine, ways in ((near, ((inner, lo_in, hi_in), (outer, lo_out, hi_out))), (~near, ((outer, lo_out, hi_out), (inner, lo_in, hi_in)))):
-            for child, lo, hi in ways:
-                if not mine.any():
-                    continue
-                off = np.maximum(lo - d[mine], d[mine] - hi)  # no point of the child is nearer than this
-                # a cosine within SLACK of the worst is a distance that much nearer
-                reach = chord(self.worst[active[mine]] - SLACK)
-                open_ = off * self.factor <= reach + 1e-7
-                if open_.any():
-                    self._walk(child, active[mine][open_])
+        for child, lo, hi in ((inner, lo_in, hi_in), (outer, lo_out, hi_out)):
+            off = np.maximum(lo - d, d - hi)  # no point of the child is nearer than this
+            # a cosine within SLACK of the worst is a distance that much nearer
+            open_ = off * self.factor <= chord(self.worst[active] - SLACK) + 1e-7
+            if open_.any():
+                self._walk(child, active[open_])
 
     def _leaf(self, rows: np.ndarray, active: np.ndarray) -> None:
         self.seen += len(rows) * len(active)
@@ -112,23 +121,29 @@ class Tree:
             limit = np.maximum(limit, -np.partition(-near, self.k, axis=1)[:, self.k])
         a, r = np.nonzero(near >= (limit - SLACK)[:, None])
         score = cosine(self.q[active[a]], self.vectors[rows[r]])
-        cuts = np.searchsorted(a, np.arange(len(active) + 1))
-        for i, q in enumerate(active.tolist()):
-            lo, hi = cuts[i], cuts[i + 1]
-            if lo == hi:
-                continue
-            ids, scores = [self.found[q][1]], [self.found[q][2]]
-            for j in range(lo, hi):
-                p = rows[r[j]]
-                own = self.ids[self.starts[p] : self.starts[p] + min(self.counts[p], self.k + 1)]
-                own = own[own != self.qid[q]] if self.counts[p] <= self.k + 1 else self.ids[self.starts[p] : self.starts[p] + self.counts[p]][self._not(p, q)]
-                ids.append(own[: self.k])
-                scores.append(np.full(len(ids[-1]), score[j]))
-            ids, scores = np.concatenate(ids), np.concatenate(scores)
-            best = np.lexsort((ids, -scores))[: self.k]
-            self.found[q] = (None, ids[best], scores[best])
-            if len(best) == self.k:
-                self.worst[q] = scores[best[-1]]
+        points = rows[r]
+        # ids of the points: all but repeated vectors have one, of those the k smallest that aren't the query's
+        ids = self.ids[self.starts[points]]
+        many = np.flatnonzero(self.counts[points] > 1)
+        fine = (self.counts[points] == 1) & (ids != self.qid[active[a]])
+        a_, ids_, score_ = [a[fine]], [ids[fine]], [score[fine]]
+        for j in many.tolist():
+            own = self.ids[self.starts[points[j]] + self._not(points[j], active[a[j]])][: self.k]
+            a_.append(np.full(len(own), a[j]))
+            ids_.append(own)
+            score_.append(np.full(len(own), score[j]))
+        a, ids, score = np.concatenate(a_), np.concatenate(ids_), np.concatenate(score_)
+        which, a = np.unique(a, return_inverse=True)
+        if not len(which):
+            return
+        q = active[which]
+        owner = np.concatenate([np.repeat(np.arange(len(q)), self.k), a])
+        ids, score = np.concatenate([self.best_id[q].reshape(-1), ids]), np.concatenate([self.best[q].reshape(-1), score])
+        order = np.lexsort((ids, -score, owner))
+        first = np.searchsorted(owner[order], np.arange(len(q)))
+        take = order[first[:, None] + np.arange(self.k)]
+        self.best_id[q], self.best[q] = ids[take], score[take]
+        self.worst[q] = self.best[q, -1]
 
     def _not(self, p: int, q: int) -> np.ndarray:
         """Places of the k smallest ids of point p that aren't the query's."""
