@@ -1,0 +1 @@
+"""No command of the toolkit works on streams; results are pulled batch by batch with DataFrame.toLocalIterator()."""
