@@ -209,9 +209,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     labels = components(first)
     placed = written(shared.select("value", "id", "n", "place").join(small(labels), F.col("id") == F.col("node"), "left").select("value", "id", "n", "place", F.coalesce("label", "id").alias("label")), "placed")
     mixed = placed.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("value")
-    open_ = placed.join(small(written(mixed, "mixed")), "value", "left_semi")
-    other = open_.select("value", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("place").alias("place2"), F.col("label").alias("label2"))
-    cross = open_.join(other, ["value"]).where((F.col("id") < F.col("id2")) & (F.col("label") != F.col("label2")) & _enough(F.col("n"), F.col("n2"), F.col("place"), F.col("place2"), k, per_cent))
+    open_ = written(placed.join(small(written(mixed, "mixed")), "value", "left_semi"), "open")
+    # a pair comes from the first list that holds both, where their places leave the most room; both have their lists in one order
+    own = open_.groupBy("id").agg(F.transform(F.array_sort(F.collect_set(F.struct("place", "value"))), lambda x: x["value"]).alias("lists"))
+    open_ = written(open_.join(own, "id").withColumn("at", F.array_position("lists", F.col("value")).cast("int") - 1), "listed")
+    other = open_.select("value", *[F.col(c).alias(f"{c}2") for c in ("id", "n", "place", "label", "lists", "at")])
+    before = F.arrays_overlap(F.slice("lists", F.lit(1), F.col("at")), F.slice("lists2", F.lit(1), F.col("at2")))
+    cross = open_.join(other, ["value"]).where((F.col("id") < F.col("id2")) & (F.col("label") != F.col("label2")) & _enough(F.col("n"), F.col("n2"), F.col("place"), F.col("place2"), k, per_cent) & ~before)
     pairs = cross.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
     second = _compared(pairs, reps, docs, id_col, text_col, k, words, per_cent)
     labels = written(components(first.unionByName(second)), "groups")
