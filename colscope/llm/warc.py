@@ -25,8 +25,8 @@ from .common import scratch, small, table, written
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Bytes of payload that a task's archive is to have, about; one file is read at once.
-FILE_BYTES = 32 << 20
+#: Bytes that an archive is to have, about; one file is read at once.
+FILE_BYTES = 16 << 20
 #: Captures in a block of the index.
 BLOCK_LINES = 512
 END = "\r\n\r\n"
@@ -81,11 +81,10 @@ def records(plan: DataFrame) -> DataFrame:
 
 
 def write_archives(plan: DataFrame, out: str, file_bytes: int = FILE_BYTES) -> None:
-    """Write planned() rows as WARC files under `out`. Each task writes one file; rows are dealt out so that a file has about file_bytes."""
-    total = plan.agg(F.sum(F.when(F.col("refers_to").isNull(), F.col("payload_bytes")).otherwise(0) + 600)).first()[0] or 0
-    files = max(1, -(-int(total) // file_bytes))
-    dealt = plan.repartition(files, F.xxhash64("page_id", "url"))
-    records(dealt).write.option("lineSep", END).option("compression", "none").text(out)
+    """Write planned() rows as WARC files under `out`, where they are, without a shuffle. A task begins a new file after so many records as have about file_bytes on the average."""
+    size = F.when(F.col("refers_to").isNull(), F.col("payload_bytes")).otherwise(0) + 600
+    mean = plan.agg(F.avg(size)).first()[0] or 600
+    records(plan).write.option("lineSep", END).option("compression", "none").option("maxRecordsPerFile", max(1, int(file_bytes / mean))).text(out)
 
 
 def parse(data: bytes, file: str = "") -> Iterator[tuple]:
