@@ -37,9 +37,14 @@ def head(spark: SparkSession, sources: Sequence[Source], n: int = 10, columns: s
     return shown(scan(spark, sources).where(F.col(ROW) < n), columns, place)
 
 
+def per_file(df: DataFrame, sources: Sequence[Source]) -> DataFrame:
+    """A table with a row per file, to be broadcast unless there are very many files: rows then stay where they are, in order."""
+    return F.broadcast(df) if len(sources) <= 100_000 else df
+
+
 def _with_counts(df: DataFrame, spark: SparkSession, sources: Sequence[Source]) -> DataFrame:
     counts = footer(spark, sources, "files").select(F.col("file").alias(FILE), F.col("num_rows").alias("_rows"))
-    return df.join(F.broadcast(counts) if len(sources) <= 100_000 else counts, FILE)
+    return df.join(per_file(counts, sources), FILE)
 
 
 def tail(spark: SparkSession, sources: Sequence[Source], n: int = 10, columns: str | None = None, place: bool = False) -> DataFrame:
@@ -132,7 +137,7 @@ def slice_rows(spark: SparkSession, sources: Sequence[Source], rows: str | None
     if row_groups is not None or prune is not None:
         g = groups(spark, sources, row_groups, prune)
         held = g.groupBy(FILE).agg(F.array_sort(F.collect_list(F.struct("_from", "_to"))).alias("_g"))  # row groups of one file
-        df = df.join(held, FILE).where(F.exists("_g", lambda x: (F.col(ROW) >= x["_from"]) & (F.col(ROW) < x["_to"]))).drop("_g")
+        df = df.join(per_file(held, sources), FILE).where(F.exists("_g", lambda x: (F.col(ROW) >= x["_from"]) & (F.col(ROW) < x["_to"]))).drop("_g")
     return shown(df, columns, place)
 
 
@@ -146,7 +151,7 @@ def split_ids(spark: SparkSession, sources: Sequence[Source], parts: int) -> Dat
         start[s.name], at = at, at + (counts.get(s.name) or 0)
     size = max(1, -(-at // parts))
     offsets = spark.createDataFrame([(k, v) for k, v in start.items()], f"{FILE} string, _start long")
-    return scan(spark, sources).join(F.broadcast(offsets) if len(start) <= 100_000 else offsets, FILE).withColumn("_part", F.floor((F.col("_start") + F.col(ROW)) / F.lit(size)).cast("int")).drop("_start")
+    return scan(spark, sources).join(per_file(offsets, sources), FILE).withColumn("_part", F.floor((F.col("_start") + F.col(ROW)) / F.lit(size)).cast("int")).drop("_start")
 
 
 def split_row_groups(spark: SparkSession, sources: Sequence[Source]) -> DataFrame:
@@ -154,7 +159,7 @@ def split_row_groups(spark: SparkSession, sources: Sequence[Source]) -> DataFram
     g = groups(spark, sources).orderBy(FILE, "row_group").collect()  # row groups, not rows
     numbered = spark.createDataFrame([(r[FILE], r._from, r._to, k) for k, r in enumerate(g)], f"{FILE} string, _from long, _to long, _part int")
     held = numbered.groupBy(FILE).agg(F.array_sort(F.collect_list(F.struct("_from", "_to", "_part"))).alias("_g"))
-    df = scan(spark, sources).join(held, FILE)
+    df = scan(spark, sources).join(per_file(held, sources), FILE)
     own = F.filter("_g", lambda x: (F.col(ROW) >= x["_from"]) & (F.col(ROW) < x["_to"]))
     return df.withColumn("_part", own[0]["_part"]).drop("_g")
 
