@@ -221,7 +221,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     labels = written(components(first.unionByName(second)), "groups")
     rows = with_rep(every.select("_id", *key))
     rows = rows.join(small(labels), F.col("rep") == F.col("node"), "left")
-    component = F.when(F.col("n") == 0, F.col("_id")).otherwise(F.coalesce("label", "rep"))
+    component = F.when((F.col("n") == 0) | F.col("_id").isNull(), F.col("_id")).otherwise(F.coalesce("label", "rep"))
     return rows.select("_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("_id").eqNullSafe(component).alias("kept"))
 
 
