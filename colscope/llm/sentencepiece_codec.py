@@ -233,11 +233,11 @@ def _spaced(words: list[str]) -> list[str]:
     return out
 
 
-def pieces_of(texts: list[str], most: int = CHARS) -> Iterator[tuple[int, int]]:
+def pieces_of(texts: list[str | None], most: int = CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about `most` characters."""
     begin = size = 0
     for k, t in enumerate(texts):
-        size += len(t)
+        size += len(t or "")
         if size >= most:
             yield begin, k + 1
             begin, size = k + 1, 0
