@@ -244,7 +244,7 @@ def test_split_and_compact(spark, tmp_path, groups):
     assert len(reshape.split_n(spark, src(spark, groups), 2, f"{tmp_path}/n/x_{{n}}.parquet")) == 2 and (tmp_path / "n/x_1.parquet").exists()
     assert len(reshape.split_groups(spark, src(spark, groups), f"{tmp_path}/g/x.parquet")) == 3
     plan = reshape.plan_compaction([("a", 10, 1), ("b", 10, 1), ("c", 90, 1), ("d", 30, 1), ("e", 5, 1)], 40)
-    assert [g["files"] for g in plan] == [["a", "b"]]
+    assert [g["files"] for g in plan] == [["a", "b", "e"]]
     folder = tmp_path / "small"
     for k in range(4):
         write(folder / f"f{k}.parquet", id=[k], v=[str(k)])
