@@ -38,13 +38,13 @@ def named(template: str, label: str) -> str:
 
 
 def write_split(df: DataFrame, label: str, out: str, **parquet) -> list[str]:
-    """One Parquet file per label, written in one pass: rows are dealt out by label, and large labels are cut by Spark's adaptive plan only within the folder step, so that no label is held in memory."""
+    """One Parquet file per label, written in one pass. Rows are dealt out by label; the adaptive plan cuts a label of more than a partition's size, which then becomes a folder of files, so that a frequent value is not one task's work."""
     spark = df.sparkSession
     folder = f"{out}.split"
     drop = [c for c in (FILE, ROW) if c in df.columns]
     dealt = df.drop(*drop).withColumn("_dir", F.col(label).cast("string"))
     kept = dealt.drop(label) if label in ("_part", "_label") else dealt
-    kept.repartition(F.col("_dir")).write.options(**sinks.parquet_options(**(parquet or {"compression": "zstd"}))).partitionBy("_dir").parquet(folder)
+    kept.hint("rebalance", "_dir").write.options(**sinks.parquet_options(**(parquet or {"compression": "zstd"}))).partitionBy("_dir").parquet(folder)
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     root = jvm.org.apache.hadoop.fs.Path(folder)
     fs = root.getFileSystem(conf)

@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
 
 from ..errors import UsageError
-from ..sources.footer import footer
+from ..sources.footer import signatures
 from ..sources.resolve import Source, expand, is_identifier, looks_like_sql, table_name, unique_name
 
 
@@ -34,22 +34,13 @@ def register(spark: SparkSession, inputs: Sequence[str] = (), aliases: Sequence[
 
 def view(spark: SparkSession, name: str, files: Sequence[Source]) -> DataFrame:
     """One view over files whose column names and types must agree with the first file's; folder names give no columns."""
-    if len(files) > 1:
-        kinds = {tuple(sorted((r.path, r.type) for r in g)) for g in _grouped(footer(spark, files, "columns").select("file", "path", "type").collect()).values()}
-        if len(kinds) > 1:
-            raise UsageError(f"{name}: its {len(files)} files have different schemas")
+    if len(files) > 1 and signatures(spark, files).select("signature").distinct().count() > 1:
+        raise UsageError(f"{name}: its {len(files)} files have different schemas")
     df = spark.read.option("recursiveFileLookup", "true").schema(spark.read.parquet(files[0].path).schema).parquet(*[f.path for f in files])
     df.createOrReplaceTempView(name)
     return df
 
 
-def _grouped(rows) -> dict[str, list]:
-    out: dict[str, list] = {}
-    for r in rows:
-        out.setdefault(r.file, []).append(r)
-    return out
-
-
 def query(spark: SparkSession, text: str, inputs: Sequence[str] = (), aliases: Sequence[str] | dict[str, str] = (), batch_size: int | None = None) -> DataFrame:
     """The result of a query over the inputs' tables; errors name the tables that there are."""
     tables = register(spark, inputs, aliases)

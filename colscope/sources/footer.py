@@ -197,6 +197,15 @@ def footer(spark: SparkSession, sources: Sequence[Source], level: str) -> DataFr
     return spark.read.format("parquet_footer").option("level", level).option("files", json.dumps([[s.name, s.path] for s in sources])).load()
 
 
+def signatures(spark: SparkSession, sources: Sequence[Source]) -> DataFrame:
+    """file, signature: a digest of the leaf columns' paths and types; null for files that can't be read."""
+    from pyspark.sql import functions as F
+
+    cols = footer(spark, sources, "columns")
+    leaf = F.concat_ws(" ", "path", "type")
+    return cols.groupBy("file").agg(F.when(F.count("error") == 0, F.sha1(F.array_join(F.array_sort(F.collect_list(leaf)), "\n").cast("binary"))).alias("signature"))
+
+
 def bloom_filters(spark: SparkSession, sources: Sequence[Source]) -> DataFrame:
     """file, row_group, path, bloom_offset, bloom_length (-1: none), which PyArrow does not tell; read through the JVM's footer reader."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
