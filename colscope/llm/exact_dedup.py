@@ -58,15 +58,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
-    """The rows of docs that exact_dedup keeps, each once, with docs' columns."""
-    verdict = exact_dedup(docs, id_col, text_col, salts)
-    losers = written(verdict.where("group_size > 1 and not kept").select(F.col("_id").alias(id_col)), "losers")
-    doubled = written(verdict.where("group_size > 1 and kept").groupBy(F.col("_id").alias(id_col)).count().where("count > 1"), "doubled")
-    left = docs.join(small(losers), id_col, "left_anti")
+    """The rows of docs that exact_dedup keeps, each once, with docs' columns. Rows are told by id and digest, so that another text with the same id stays."""
+    verdict = exact_dedup(docs, id_col, text_col, salts).where("group_size > 1").select("_id", F.col("_digest").alias("_of"), "kept")
+    verdict = written(verdict, "verdict")
+    tagged = docs.withColumn("_sha", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_of"))
+    left = tagged.join(small(verdict.where("not kept").drop("kept").distinct()), same, "left_anti")
+    doubled = written(verdict.where("kept").groupBy("_id", "_of").count().where("count > 1").drop("count"), "doubled")
     if doubled.isEmpty():
-        return left
-    again = docs.join(small(doubled.select(id_col)), id_col, "left_semi").dropDuplicates([id_col, text_col])
-    return left.join(small(doubled.select(id_col)), id_col, "left_anti").unionByName(again)
+        return left.drop("_sha")
+    again = left.join(small(doubled), same, "left_semi").dropDuplicates([id_col, "_sha"])
+    return left.join(small(doubled), same, "left_anti").unionByName(again).drop("_sha")
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,6 +40,8 @@ def test_exact_dedup(spark):
     twice = d.unionAll(d.where("doc_id = 4")).withColumn("_digest", F.lit(1)).withColumn("keep_id", F.lit(2))
     assert sorted(r.doc_id for r in exact_dedup.keep_one(twice.drop("_digest", "keep_id")).collect()) == [1, 2, 4, 5, 7, 8, 9, 10, 11, 12]
     assert exact_dedup.exact_dedup(twice).where("_id = 4").count() == 2
+    shared = spark.createDataFrame([(1, "p"), (1, "q"), (2, "q"), (None, "q"), (None, "z")], "doc_id long, text string")
+    assert rows(exact_dedup.keep_one(shared)) == sorted([(1, "p"), (2, "q"), (None, "z")], key=str)
     nulls = spark.createDataFrame([(None, "q"), (None, "q"), (3, "q")], "doc_id long, text string")
     assert {(r._id, r.keep_id) for r in exact_dedup.exact_dedup(nulls).collect()} == {(None, 3), (3, 3)}
 
