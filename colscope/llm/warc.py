@@ -6,21 +6,22 @@ archive files, whose size the writer bounds, and walks from record to record by
 
 The index has the captures sorted by reversed-host URL key, cut into compressed blocks, and a sparse directory with
 the first key of each block. A look-up searches the directory for the block, the block for the key, and reads the
-record's bytes only.
+record's bytes only. locate() and read_ranges() do this in bulk, in the cluster; CaptureIndex does it for single urls.
 """
 
 from __future__ import annotations
 
+import math
+import re
 import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, small, table, written
+from .common import BROADCAST_ROWS, scratch, small, table, written
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 DATE = "2024-01-01T00:00:00Z"
@@ -29,6 +30,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 FILE_BYTES = 16 << 20
 #: Captures in a block of the index.
 BLOCK_LINES = 512
+#: Neighbouring records are read at once, up to about so many bytes.
+READ_BYTES = 1 << 20
 END = "\r\n\r\n"
 RECORD = "page_id long, url string, kind string, payload_digest string, payload_bytes long, refers_to long, payload binary, file string, offset long, length long"
 
@@ -87,12 +90,12 @@ def write_archives(plan: DataFrame, out: str, file_bytes: int = FILE_BYTES) -> N
     records(plan).write.option("lineSep", END).option("compression", "none").option("maxRecordsPerFile", max(1, int(file_bytes / mean))).text(out)
 
 
-def parse(data: bytes, file: str = "") -> Iterator[tuple]:
-    """Records of an archive as tuples of RECORD's columns; the payload of a revisit is None."""
+def parse(data: bytes, file: str = "", start: int = 0) -> Iterator[tuple]:
+    """Records of an archive, or of whole records of it that begin at byte start, as tuples of RECORD's columns; the payload of a revisit is None."""
     at, view = 0, memoryview(data)
     while at < len(data):
         if data[at : at + 8] != b"WARC/1.1":
-            raise ValueError(f"no record at byte {at} of {file}")
+            raise ValueError(f"no record at byte {start + at} of {file}")
         top = data.index(b"\r\n\r\n", at)
         fields = dict(line.split(b": ", 1) if b": " in line else (line.rstrip(b":"), b"") for line in data[at:top].split(b"\r\n")[1:])
         n = int(fields[b"Content-Length"])
@@ -107,7 +110,7 @@ def parse(data: bytes, file: str = "") -> Iterator[tuple]:
             raise ValueError(f"a payload of {len(payload)} bytes, {says} were written")
         number = lambda x: None if x == b"null" else int(x)
         end = top + 4 + n + 4
-        yield number(page), fields[b"WARC-Target-URI"].decode(), kind, fields[b"WARC-Payload-Digest"][5:].decode(), says, number(refers), payload, file, at, end - at
+        yield number(page), fields[b"WARC-Target-URI"].decode(), kind, fields[b"WARC-Payload-Digest"][5:].decode(), says, number(refers), payload, file, start + at, end - at
         at = end
 
 
@@ -118,52 +121,71 @@ def _sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+KINDS = {"page_id": pa.int64(), "url": pa.string(), "kind": pa.string(), "payload_digest": pa.string(), "payload_bytes": pa.int64(), "refers_to": pa.int64(), "payload": pa.binary(), "file": pa.string(), "offset": pa.int64(), "length": pa.int64()}
+
+
+def _schema(payloads: bool) -> str:
+    return ", ".join(x for x in RECORD.split(", ") if payloads or not x.startswith("payload "))
+
+
+def _checked(records_: Iterator[tuple], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """parse()'s records in batches of the columns named. A digest that does not fit the payload is an error."""
+    rows, size = [], 0
+    for r in records_:
+        if r[6] is not None and _sha1(r[6]) != r[3]:
+            raise ValueError(f"the payload of page {r[0]} is damaged")
+        rows.append(r if "payload" in names else r[:6] + r[7:])
+        size += len(r[6] or b"")
+        if size > 8 << 20:
+            yield _batch(rows, names)
+            rows, size = [], 0
+    if rows:
+        yield _batch(rows, names)
+
+
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """RECORD rows of the WARC files under path. Digests of responses are computed anew from the bytes read and compared."""
-    kinds = {"page_id": pa.int64(), "url": pa.string(), "kind": pa.string(), "payload_digest": pa.string(), "payload_bytes": pa.int64(), "refers_to": pa.int64(), "payload": pa.binary(), "file": pa.string(), "offset": pa.int64(), "length": pa.int64()}
-    names = [c for c in kinds if payloads or c != "payload"]
+    names = [c for c in KINDS if payloads or c != "payload"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for file, data in zip(b.column(0).to_pylist(), b.column(1)):
-                rows, size = [], 0
-                for r in parse(data.as_buffer().to_pybytes(), file):
-                    if r[6] is not None and _sha1(r[6]) != r[3]:
-                        raise ValueError(f"the payload of page {r[0]} is damaged")
-                    rows.append(r if payloads else r[:6] + r[7:])
-                    size += len(r[6] or b"")
-                    if size > 8 << 20:
-                        yield _batch(rows, names, kinds)
-                        rows, size = [], 0
-                if rows:
-                    yield _batch(rows, names, kinds)
+                yield from _checked(parse(data.as_buffer().to_pybytes(), file), names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    schema = ", ".join(x for x in RECORD.split(", ") if payloads or not x.startswith("payload "))
-    return files.mapInArrow(run, schema)
+    return files.mapInArrow(run, _schema(payloads))
+
 
+def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, KINDS[n]) for n, c in zip(names, zip(*rows))], names)
 
-def _batch(rows: list[tuple], names: list[str], kinds: dict) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, kinds[n]) for n, c in zip(names, zip(*rows))], names)
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def url_key(url: Column) -> Column:
-    """`com,example,www)/path?query`: the host reversed and lower-cased, so that a domain's captures stand together."""
+    """`com,example,www)/path?query`: the host reversed and lower-cased, so that a domain's captures stand together.
+
+    The key is of the url as it stands in the archive, and has no control characters. It is sorted, stored and searched
+    as it is: Spark's order of bytes and Python's order of code points are the same.
+    """
+    url = _uri(url)
     at = F.locate("://", url)
     rest = F.when(at > 0, url.substr(at + 3, F.length(url))).otherwise(url)
     host = F.regexp_extract(rest, "^[^/?#]*", 0)
     tail = rest.substr(F.length(host) + 1, F.length(rest))
-    return F.coalesce(F.concat(F.array_join(F.reverse(F.split(F.lower(host), r"\.")), ","), F.lit(")"), F.regexp_replace(tail, "#.*$", "")), F.lit(")"))
+    return F.concat(F.array_join(F.reverse(F.split(F.translate(host, UPPER, LOWER), r"\.")), ","), F.lit(")"), F.substring_index(tail, "#", 1))
 
 
-def key_of(url: str) -> str:
-    rest = url.split("://", 1)[-1]
+def key_of(url: str | None) -> str:
+    """url_key() of one url."""
+    rest = re.sub(r"[\x00-\x20\x7F]", "%20", url or "").split("://", 1)[-1]
     cut = min([rest.find(c) for c in "/?#" if c in rest], default=len(rest))
-    return ",".join(reversed(rest[:cut].lower().split("."))) + ")" + rest[cut:].split("#", 1)[0]
+    return ",".join(reversed(rest[:cut].translate(str.maketrans(UPPER, LOWER)).split("."))) + ")" + rest[cut:].split("#", 1)[0]
 
 
 def build_index(captures: DataFrame, out: str, block_lines: int = BLOCK_LINES) -> None:
-    """Write the index of read_archives() rows: blocks/ (part, block, first key, last key, compressed lines), the directory being its columns without the lines. Equal keys may reach over several blocks, and parts."""
+    """Write the index of read_archives() rows: blocks/ (part, block, first key, last key, compressed lines), the directory being its columns without the lines. Equal keys may reach over several blocks, and parts. Give it a written table, or its rows are computed twice, as the sort samples them first."""
     rows = captures.select(url_key(F.col("url")).alias("key"), "page_id", "kind", "file", "offset", "length")
     ordered = rows.repartitionByRange(F.col("key"), F.col("page_id")).sortWithinPartitions("key", "page_id")
 
@@ -178,7 +200,7 @@ def build_index(captures: DataFrame, out: str, block_lines: int = BLOCK_LINES) -
 
         for b in batches:
             for r in zip(*[c.to_pylist() for c in b.columns]):
-                lines.append([quote(r[0], safe=",)/?=&;:@+$!*'(~%"), *map(str, r[1:])])
+                lines.append([*map(str, r)])
                 if len(lines) == block_lines:
                     yield close()
                     block, lines = block + 1, []
@@ -188,6 +210,104 @@ def build_index(captures: DataFrame, out: str, block_lines: int = BLOCK_LINES) -
     ordered.mapInArrow(run, "part int, block int, first string, last string, lines binary").write.option("parquet.block.size", 1 << 20).parquet(f"{out}/blocks")
 
 
+def _blocks_of(directory: list[tuple], firsts: list[str], key: str) -> list[tuple[int, int]]:
+    """(part, block) that may hold a key, from the sorted (first, last, part, block)."""
+    return [(p, b) for _, last, p, b in directory[max(0, bisect_left(firsts, key) - 1) : bisect_right(firsts, key)] if last >= key]
+
+
+def _lines_of(data: bytes, keys: list[str]) -> Iterator[list[str]]:
+    """The lines of one block that have one of the keys."""
+    lines = [x.split("\t") for x in zlib.decompress(data).decode().split("\n")]
+    every = [x[0] for x in lines]
+    for k in keys:
+        yield from lines[bisect_left(every, k) : bisect_right(every, k)]
+
+
+def locate(spark: SparkSession, out: str, urls: DataFrame, max_entries: int = BROADCAST_ROWS) -> DataFrame:
+    """`file`, `offset`, `length` of all captures of the urls (the only column), each once, by look-ups in the index under out.
+
+    The directory goes to the executors, who search it for the blocks; each block asked for is opened once. Beyond
+    max_entries the directory is joined by its ranges of keys instead, which is slow.
+    """
+    blocks = spark.read.parquet(f"{out}/blocks")
+    keys = urls.select(url_key(F.col(urls.columns[0])).alias("key")).distinct()
+    entries = blocks.select("first", "last", "part", "block")
+    if entries.limit(max_entries + 1).count() > max_entries:
+        wanted = keys.join(entries, (F.col("first") <= F.col("key")) & (F.col("last") >= F.col("key"))).select("part", "block", "key")
+    else:
+        sent = spark.sparkContext.broadcast(sorted(tuple(r) for r in entries.toLocalIterator()))
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            firsts = [d[0] for d in sent.value]
+            for b in batches:
+                hits = [(p, n, k) for k in b.column(0).to_pylist() for p, n in _blocks_of(sent.value, firsts, k)]
+                if hits:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*hits), (pa.int32(), pa.int32(), pa.string()))], ["part", "block", "key"])
+
+        wanted = keys.mapInArrow(search, "part int, block int, key string")
+    asked = wanted.groupBy("part", "block").agg(F.collect_list("key").alias("keys"))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for keys_, data in zip(b.column(0).to_pylist(), b.column(1)):
+                found = [(x[3], int(x[4]), int(x[5])) for x in _lines_of(data.as_py(), keys_)]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.string(), pa.int64(), pa.int64()))], ["file", "offset", "length"])
+
+    return asked.join(blocks, ["part", "block"]).select("keys", "lines").mapInArrow(find, "file string, offset long, length long")
+
+
+def _opened(file: str) -> pa.NativeFile:
+    from pyarrow import fs
+
+    if file.startswith("file:"):
+        return fs.LocalFileSystem().open_input_file(re.sub("^file:/+", "/", file))
+    store, path = fs.FileSystem.from_uri(file)
+    return store.open_input_file(path)
+
+
+def _runs(places: Iterator[tuple[str, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """(file, offset, length) in order, neighbours joined up to READ_BYTES."""
+    last = None
+    for file, offset, length in places:
+        if last and last[0] == file and last[1] + last[2] == offset and last[2] + length <= READ_BYTES:
+            last = file, last[1], last[2] + length
+        else:
+            if last:
+                yield last
+            last = file, offset, length
+    if last:
+        yield last
+
+
+def read_ranges(places: DataFrame, payloads: bool = True) -> DataFrame:
+    """RECORD rows of the records at locate()'s places, read by ranges by the executors; other bytes of the archives are not read.
+
+    Digests of responses are computed anew and compared. Tasks get about FILE_BYTES of records each.
+    """
+    places = written(places, "places")
+    names = [c for c in KINDS if payloads or c != "payload"]
+    tasks = max(1, math.ceil((places.agg(F.sum("length")).first()[0] or 0) / FILE_BYTES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, stream = None, None
+        try:
+            for b in batches:
+                for file, offset, length in _runs(zip(*[c.to_pylist() for c in b.columns])):
+                    if file != name:
+                        if stream:
+                            stream.close()
+                        name, stream = file, _opened(file)
+                    stream.seek(offset)
+                    yield from _checked(parse(stream.read(length), file, offset), names)
+        finally:
+            if stream:
+                stream.close()
+
+    ordered = places.repartitionByRange(tasks, F.col("file"), F.col("offset")).sortWithinPartitions("file", "offset")
+    return ordered.mapInArrow(run, _schema(payloads))
+
+
 class CaptureIndex:
     """Look-ups of single urls by the driver. The directory has one entry per block; it is loaded up to max_entries, beyond which each look-up filters it in the cluster."""
 
@@ -202,19 +322,15 @@ class CaptureIndex:
 
     def captures(self, url: str) -> list[tuple[str, str, str, int, int]]:
         """(page id, kind, file, offset, length) of all captures of a url."""
-        key = quote(key_of(url), safe=",)/?=&;:@+$!*'(~%")
+        key = key_of(url)
         if self.directory is None:
             wanted = [(r.part, r.block) for r in self.blocks.where((F.col("first") <= key) & (F.col("last") >= key)).select("part", "block").collect()]
         else:
-            hi = bisect_right(self.firsts, key)
-            lo = max(0, bisect_left(self.firsts, key) - 1)
-            wanted = [(p, b) for _, last, p, b in self.directory[lo:hi] if last >= key]
+            wanted = _blocks_of(self.directory, self.firsts, key)
         found = []
         for part, block in wanted:
             data = self.blocks.where((F.col("part") == part) & (F.col("block") == block)).select("lines").first()[0]
-            lines = [x.split("\t") for x in zlib.decompress(bytes(data)).decode().split("\n")]
-            keys = [x[0] for x in lines]
-            found += [(x[1], x[2], x[3], int(x[4]), int(x[5])) for x in lines[bisect_left(keys, key) : bisect_right(keys, key)]]
+            found += [(x[1], x[2], x[3], int(x[4]), int(x[5])) for x in _lines_of(bytes(data), [key])]
         return found
 
     def read(self, file: str, offset: int, length: int) -> tuple:
@@ -231,9 +347,13 @@ class CaptureIndex:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = scratch(spark, "warc")
-    write_archives(planned(table(spark, sf_dir, "pages")), out)
-    return read_archives(spark, out, payloads=False).select("page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to")
+    """Archives of all pages, the index of all captures, and the records by look-ups of all urls."""
+    pages = table(spark, sf_dir, "pages")
+    out, index = scratch(spark, "warc"), scratch(spark, "warc-index")
+    write_archives(planned(pages), out)
+    build_index(written(read_archives(spark, out, payloads=False), "captures"), index)
+    got = read_ranges(locate(spark, index, pages.select("url")), payloads=False)
+    return got.select("page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to")
 
 
 ORACLE = """

@@ -330,6 +330,29 @@ def test_warc(spark):
     assert set(least.values()) == {None}
 
 
+ODD = ["http://a.com/|", "http://a.com/z", "http://a.com/\u00e9", "http://a.com/{", "http://a.com/~", "http://A.com/a b", "http://a.com/\x01", "http://a.com/q#\u2028f", "http://a.com/q", "http://\u00c9.com/\U0001f600", "\uff0fno host", "", None, "http://a.com/\uffee", "http://a.com/^", "http://a.com./%7c"]
+
+
+def test_warc_index_finds_every_capture(spark, tmp_path, monkeypatch):
+    p = spark.createDataFrame([(k, u, f"text {k % 9}") for k, u in enumerate(ODD * 2)], "page_id long, url string, html string").repartition(2)
+    assert [r[0] for r in spark.createDataFrame([(k, u) for k, u in enumerate(ODD)], "k int, u string").orderBy("k").select(warc.url_key(F.col("u"))).collect()] == [warc.key_of(u) for u in ODD]
+    out, index = scratch(spark, "test-warc-odd"), scratch(spark, "test-index-odd")
+    warc.write_archives(warc.planned(p), out, file_bytes=3000)
+    warc.build_index(warc.read_archives(spark, out), index, block_lines=3)
+    want = rows(warc.read_archives(spark, out), "page_id", "payload", "file", "offset", "length")
+    for entries in (10**6, 0):
+        assert rows(warc.read_ranges(warc.locate(spark, index, p.select("url"), entries)), "page_id", "payload", "file", "offset", "length") == want
+    ix = warc.CaptureIndex(spark, index)
+    for k, u in enumerate(ODD):
+        assert {str(k), str(k + len(ODD))} <= {c[0] for c in ix.captures(u)}, u
+    # the query's rows come through the index: what it lacks is not given
+    p.write.parquet(f"{tmp_path}/pages.parquet")
+    assert rows(warc.op7_warc(spark, str(tmp_path)), "page_id") == sorted([(k,) for k in range(2 * len(ODD))], key=str)
+    build = warc.build_index
+    monkeypatch.setattr(warc, "build_index", lambda captures, *a: build(captures.where("page_id < 5"), *a))
+    assert rows(warc.op7_warc(spark, str(tmp_path)), "page_id") == [(k,) for k in range(5)]
+
+
 # nearest neighbours
 def test_vp_tree_is_exact():
     r = np.random.default_rng(1)
