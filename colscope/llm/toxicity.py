@@ -26,9 +26,11 @@ PREFIXES = (3, 4, 5, 6, 7, 8)
 OFTEN, DENSE = (1, 2, 4, 8), (1 / 200, 1 / 50, 1 / 20)
 LEVELS = 8
 #: Features that the models use, at most, and the least chi-square that one must have with a category: chance alone hardly gives it to any of a million.
-FEATURES, LEAST_CHI_SQUARE = 1024, 30.0
+FEATURES, LEAST_CHI_SQUARE = 4096, 30.0
 #: Labelled documents that the models are fitted on, at most: those with the smallest hashes of their ids.
-MAX_TRAIN = 10_000
+MAX_TRAIN = 20_000
+#: Rows whose features are made floats at once.
+BLOCK_ROWS = 256
 FOLDS = 5
 #: (category, label expression: 1, 0 or null), in the chain's order; the last one is the verdict's.
 CATEGORIES = (("low_quality", "1 - quality"), ("toxic", "toxic"))
@@ -110,13 +112,23 @@ def logits(row: np.ndarray, col: np.ndarray, n: int, earlier: np.ndarray, w: np.
     return np.bincount(row, w[col], n) + odds(earlier) @ w[k:-1] + w[-1]
 
 
-def fit(x: np.ndarray, y: np.ndarray, known: np.ndarray, steps: int = 200, l2: float = 1e-4, rate: float = 0.1) -> np.ndarray:
-    """Weights[feature, model] of logistic regressions, all fitted at once by Adam over the same rows; known[row, model] flags the rows that a model may see.
+def blocks(x: np.ndarray, more: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    """Rows of x (bytes) and of more (floats) side by side as floats, BLOCK_ROWS at once; each block is overwritten by the next one."""
+    k = x.shape[1]
+    block = np.empty((BLOCK_ROWS, k + more.shape[1]), np.float32)
+    for i in range(0, len(x), BLOCK_ROWS):
+        at = slice(i, min(i + BLOCK_ROWS, len(x)))
+        block[: at.stop - i, :k], block[: at.stop - i, k:] = x[at], more[at]
+        yield at, block[: at.stop - i]
+
+
+def fit(x: np.ndarray, more: np.ndarray, y: np.ndarray, known: np.ndarray, steps: int = 300, l2: float = 1e-4, rate: float = 0.1) -> np.ndarray:
+    """Weights[column, model] of logistic regressions on x's columns (0 or 1, a byte each) and more's (floats, the last one constant), all fitted at once by Adam over the same rows; known[row, model] flags the rows that a model may see.
 
     Of both classes the rarer weighs more, by the square root of their ratio. A model that sees one class only, or no
     row, gets a constant.
     """
-    w = np.zeros((x.shape[1], known.shape[1]), np.float32)
+    w = np.zeros((x.shape[1] + more.shape[1], known.shape[1]), np.float32)
     ones, n = (known * y[:, None]).sum(0), known.sum(0)
     plain = (ones == 0) | (ones == n)
     share = np.where(plain, 0.5, ones / np.maximum(n, 1))
@@ -124,7 +136,9 @@ def fit(x: np.ndarray, y: np.ndarray, known: np.ndarray, steps: int = 200, l2: f
     sample = (sample / np.maximum(sample.sum(0), 1e-9)).astype(np.float32)
     m, v, target = np.zeros_like(w), np.zeros_like(w), y[:, None].astype(np.float32)
     for t in range(1, steps + 1):
-        g = x.T @ ((sigmoid(x @ w) - target) * sample)
+        g = np.zeros_like(w)
+        for at, b in blocks(x, more):
+            g += b.T @ ((sigmoid(b @ w) - target[at]) * sample[at])
         g[:-1] += l2 * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= (rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
@@ -202,17 +216,19 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[tuple[str, st
     row, col = np.repeat(np.arange(len(lens)), lens), cols.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
     fold = got["fold"].to_numpy()
     n = len(lens)
-    x = np.zeros((n, len(kept)), np.float32)  # MAX_TRAIN x FEATURES at most
+    x = np.zeros((n, len(kept)), np.uint8)  # MAX_TRAIN x FEATURES at most
     x[row, col] = 1
     weights, earlier = [], np.zeros((n, 0))
     for c in names:
         label = got[f"_y_{c}"].to_pandas().to_numpy(dtype=np.float64, na_value=np.nan)
         known = ~np.isnan(label)
         seen_by = np.column_stack([*[known & (fold != f) for f in range(FOLDS)], known])
-        full = np.column_stack([x, odds(earlier), np.ones(n)]).astype(np.float32)
-        w = fit(full, np.where(known, label, 0.0), seen_by)
+        more = np.column_stack([odds(earlier), np.ones(n)]).astype(np.float32)
+        w = fit(x, more, np.where(known, label, 0.0), seen_by)
         weights.append(w[:, -1].astype(np.float64))
-        out_of_fold = sigmoid((full @ w)[np.arange(n), fold].astype(np.float64)) if n else np.zeros(0)
+        out_of_fold = np.zeros(n)
+        for at, b in blocks(x, more):
+            out_of_fold[at] = sigmoid((b @ w)[np.arange(len(b)), fold[at]].astype(np.float64))
         earlier = np.column_stack([earlier, out_of_fold])
     return Chain(names, column, weights)
 

@@ -302,6 +302,20 @@ def test_toxicity_held_out(spark):
     assert len(same.weights) == 2
 
 
+def test_toxicity_keeps_rare_words(spark):
+    """Sixty words tell toxic texts, each in a dozen of them; a word has nearly thirty features."""
+    r = random.Random(9)
+    plain, letters = [f"word{k}" for k in range(300)], "abcdefghijklmnopqrstuvwxyz"
+    bad = ["".join(r.choice(letters) for _ in range(10)) for _ in range(60)]
+    text = lambda w=None: " ".join([r.choice(plain) for _ in range(15)] + [w] * bool(w))
+    texts = [text(w) for w in bad * 12] + [text() for _ in range(2200)]
+    labels = spark.createDataFrame([(k, None, int(k < 720)) for k in range(len(texts))], "doc_id long, quality int, toxic int")
+    chain = toxicity.train(docs_of(spark, texts), labels)
+    p = chain.probabilities([text(w) for w in bad * 3] + [text() for _ in range(300)])[:, -1] >= 0.5
+    assert p[:180].mean() > 0.95 and p[180:].mean() < 0.05
+    assert (toxicity.FEATURES, toxicity.MAX_TRAIN) == (4096, 20_000)
+
+
 # WARC
 def test_warc(spark):
     html = ["<p>x</p>", None, "", "<p>x</p>", "é漢\r\n\r\nWARC/1.1\r\n", "<p>x</p>", "y" * 200_000]
