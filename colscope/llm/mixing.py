@@ -3,7 +3,8 @@
 Targets come from water-filling over the table of sources. Inside a source, documents stand in the order of a hash of
 their id, cut into blocks of equal hash range. Which documents are taken once more than the others is found from block
 sums: whole blocks first, then the block that holds the edge is cut into finer blocks, and only the last, small one is
-ordered row by row. Output shards get blocks by a splitting tree: each node halves its units (source, block, copy) at
+ordered row by row. Where a long document at the edge leaves a source far from its target, the search goes on behind it
+among documents of at most half the gap, which halves the gap or takes all of them. Output shards get blocks by a splitting tree: each node halves its units (source, block, copy) at
 random, which makes the counts per source a multivariate hypergeometric draw; with these counts as exact quotas every
 shard draws disjoint runs of the source's permuted blocks, and is shuffled by itself.
 """
@@ -22,6 +23,11 @@ WEIGHTS = (5, 2, 1)
 HASH_BITS, STEP_BITS, STEPS = 60, 10, 3
 #: Bits of the hash that name the block which goes to a shard.
 BLOCK_BITS = 6
+#: A source that misses its target by more than this share of it is filled further.
+TOLERANCE = 0.01
+#: Further takes: documents after one key, up to another, of a size of at most `cap`.
+KEY = "struct<_h:bigint,id:string,_size:bigint>"
+MORE = f"array<struct<after:{KEY},upto:{KEY},cap:double>>"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -73,17 +79,21 @@ def _narrowed(sizes: DataFrame, edges: DataFrame, step: int) -> DataFrame:
     return first.select("_of", F.col("b._block").alias("_lo"), (F.col("b._block") + width).alias("_hi"), F.col("b._rest").alias("_rest"), F.col("b._before").alias("_before"))
 
 
-def decide(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """source_targets with the edge: documents whose _key is at most `upto` are taken once more, and so is the one whose _key is `extra`.
+def _of() -> Column:
+    return F.col("_source").eqNullSafe(F.col("_of"))
 
-    `upto` is null where no (or every) document is below; the sources whose rest is zero have no edge. `extra` is the document
-    not yet taken again whose size is nearest to what is missing, if that brings the source nearer to its target.
-    """
-    targets = written(source_targets(sizes, weights, share, cap), "targets")
-    edges = targets.select(F.col("_source").alias("_of"), F.lit(0).cast("long").alias("_lo"), F.lit(1 << HASH_BITS).cast("long").alias("_hi"), F.col("rest").alias("_rest"), F.lit(0).cast("long").alias("_before")).where("_rest > 0")
+
+def _key(h: Column) -> Column:
+    """A key before all those of documents with the hash h."""
+    return F.struct(h.cast("long").alias("_h"), F.lit("").alias("id"), F.lit(-1).cast("long").alias("_size"))
+
+
+def _filled(sizes: DataFrame, open_: DataFrame) -> DataFrame:
+    """For open_'s sources (_of, _rest: words to be taken) `upto`, the last key that fits, and `_got`, the words up to it; no row where all documents together fit."""
+    edges = open_.select("_of", F.lit(0).cast("long").alias("_lo"), F.lit(1 << HASH_BITS).cast("long").alias("_hi"), "_rest", F.lit(0).cast("long").alias("_before"))
     for step in range(1, STEPS + 1):
         edges = written(_narrowed(sizes, edges, step), f"edges{step}")
-    last = sizes.join(small(edges), F.col("_source").eqNullSafe(F.col("_of")) & (F.col("_h") >= F.col("_lo")) & (F.col("_h") < F.col("_hi")))
+    last = sizes.join(small(edges), _of() & (F.col("_h") >= F.col("_lo")) & (F.col("_h") < F.col("_hi")))
     upto = Window.partitionBy("_of").orderBy("_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     last = last.withColumn("_upto", F.col("_before") + F.sum("_size").over(upto))
     fits = F.col("_upto") <= F.col("_rest")
@@ -91,15 +101,57 @@ def decide(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
         F.first("_lo").alias("_lo"), F.max(F.when(fits, F.col("_key"))).alias("_fits"), F.coalesce(F.max(F.when(fits, F.col("_upto"))), F.first("_before")).alias("_got")
     )
     # everything below the last range is taken as well
-    start = F.struct(F.col("_lo").alias("_h"), F.lit("").alias("id"), F.lit(-1).cast("long").alias("_size"))
-    found = written(found.select("_of", F.coalesce("_fits", start).alias("upto"), "_got"), "found")
-    edged = targets.join(small(found), F.col("_source").eqNullSafe(F.col("_of")), "left").withColumn("gap", F.col("rest") - F.coalesce("_got", F.lit(0).cast("long"))).drop("_of", "_got")
-    edged = written(edged, "edged")
-    open_ = sizes.join(small(edged.where("rest > 0").withColumnRenamed("_source", "_of")), F.col("_source").eqNullSafe(F.col("_of"))).where(F.col("upto").isNull() | (F.col("_key") > F.col("upto")))
+    return written(found.select("_of", F.coalesce("_fits", _key(F.col("_lo"))).alias("upto"), "_got"), "found")
+
+
+def _once_more() -> Column:
+    """Whether a document is taken once more, but for `extra`."""
+    later = F.exists("more", lambda m: (F.col("_key") > m["after"]) & (F.col("_key") <= m["upto"]) & (F.col("_size") <= m["cap"]))
+    return F.coalesce(F.col("_key") <= F.col("upto"), F.lit(False)) | later
+
+
+def _with_extra(sizes: DataFrame, edged: DataFrame) -> DataFrame:
+    open_ = sizes.join(small(edged.where("rest > 0").withColumnRenamed("_source", "_of")), _of()).where(~_once_more())
     off = F.abs(F.col("_size") - F.col("gap"))
     nearest = open_.where(off < F.col("gap")).groupBy("_of").agg(F.min(F.struct(off.alias("off"), "_key")).alias("b"))
     nearest = nearest.select(F.col("_of"), F.col("b._key").alias("extra"))
-    return written(edged.join(small(written(nearest, "nearest")), F.col("_source").eqNullSafe(F.col("_of")), "left").drop("_of"), "decided")
+    return written(edged.join(small(written(nearest, "nearest")), _of(), "left").drop("_of"), "decided")
+
+
+def decide(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5, cap: float = 2.0, tolerance: float = TOLERANCE) -> DataFrame:
+    """source_targets with the edge: documents whose _key is at most `upto` are taken once more, and so are those that `more` describes and the one whose _key is `extra`.
+
+    `upto` is null where no (or every) document is below; the sources whose rest is zero have no edge. `extra` is the document
+    not yet taken again whose size is nearest to what is missing, if that brings the source nearer to its target. `more` is
+    empty where the source is then within the tolerance. Each round at least halves the gap or takes all documents of at
+    most half of it, beyond which one document at most fits, so that there are about log2(1 / tolerance) rounds.
+    """
+    targets = written(source_targets(sizes, weights, share, cap), "targets")
+    found = _filled(sizes, targets.where("rest > 0").select(F.col("_source").alias("_of"), F.col("rest").alias("_rest")))
+    edged = targets.join(small(found), _of(), "left").withColumn("gap", F.col("rest") - F.coalesce("_got", F.lit(0).cast("long"))).drop("_of", "_got")
+    edged = written(edged.withColumns({"more": F.array().cast(MORE), "over": F.lit(False)}), "edged")
+    decided = _with_extra(sizes, edged)
+    while True:
+        miss = F.abs(F.col("gap") - F.coalesce(F.col("extra")["_size"], F.lit(0)))
+        after = F.coalesce(F.get("more", F.size("more") - 1)["upto"], F.col("upto"), _key(F.lit(0)))
+        far = decided.where((F.col("rest") > 0) & ~F.col("over") & (miss > F.col("target") * tolerance))
+        far = written(far.select(F.col("_source").alias("_of"), F.col("gap").alias("_rest"), after.alias("_after"), (F.col("gap") / 2).alias("_cap")), "far")
+        if far.isEmpty():
+            return decided.drop("over")
+        left = sizes.join(small(far), _of() & (F.col("_key") > F.col("_after")) & (F.col("_size") <= F.col("_cap")))
+        left = written(left.select("_source", "_size", "_h", "_key"), "left")
+        found = _filled(left, far.select("_of", "_rest"))
+        every = left.groupBy(F.col("_source").alias("_w")).agg(F.max("_key").alias("_all"), F.sum("_size").alias("_sum"))
+        found = found.select(F.col("_of").alias("_f"), F.col("upto").alias("_upto"), "_got")
+        step = far.join(small(found), F.col("_of").eqNullSafe(F.col("_f")), "left").join(small(written(every, "every")), F.col("_of").eqNullSafe(F.col("_w")), "left")
+        step = step.select("_of", "_after", "_cap", F.col("_upto").isNull().alias("_over"), F.coalesce("_upto", "_all").alias("_upto"), F.coalesce("_got", "_sum", F.lit(0).cast("long")).alias("_got"))
+        new = F.struct(F.col("_after").alias("after"), F.col("_upto").alias("upto"), F.col("_cap").cast("double").alias("cap"))
+        edged = decided.drop("extra").join(small(written(step, "step")), _of(), "left")
+        edged = edged.withColumns({
+            "more": F.when(F.col("_upto").isNotNull(), F.concat("more", F.array(new)).cast(MORE)).otherwise(F.col("more")),
+            "gap": F.col("gap") - F.coalesce("_got", F.lit(0).cast("long")), "over": F.col("over") | F.coalesce("_over", F.lit(False)),
+        })
+        decided = _with_extra(sizes, written(edged.drop(*step.columns), "edged"))
 
 
 def shard_units(sizes: DataFrame, decided: DataFrame, shards: int, seed: int) -> DataFrame:
@@ -130,8 +182,8 @@ def _block() -> Column:
 def with_copies(rows: DataFrame, decided: DataFrame) -> DataFrame:
     """rows of sized() with source_size, target and copies, the number of times that the mix takes them."""
     own = decided.withColumnRenamed("_source", "_of")
-    once_more = F.coalesce(F.col("_key") <= F.col("upto"), F.lit(False)) | F.coalesce(F.col("_key") == F.col("extra"), F.lit(False))
-    return rows.join(small(own), F.col("_source").eqNullSafe(F.col("_of"))).withColumn("copies", F.col("times") + once_more.cast("int")).drop("_of", "times", "rest", "upto", "gap", "extra")
+    once_more = _once_more() | F.coalesce(F.col("_key") == F.col("extra"), F.lit(False))
+    return rows.join(small(own), F.col("_source").eqNullSafe(F.col("_of"))).withColumn("copies", F.col("times") + once_more.cast("int")).drop("_of", "times", "rest", "upto", "gap", "extra", "more")
 
 
 def mixture(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, share: float = 1.5, cap: float = 2.0, seed: int = 7) -> DataFrame:

@@ -234,6 +234,29 @@ def test_mixture(spark):
     assert {x.target for x in mixing.mixture(docs_of(spark, [None, ""])).collect()} == {0.0}
 
 
+def test_mixture_passes_long_documents(spark):
+    """Source a's share is 50 % above its size; one document of it is larger than what is missing, wherever it stands in order."""
+    for seed in (1, 2, 3):
+        texts = ["w " * 100_000] + ["w " * 100] * 1000 + ["w " * 70] * 3
+        d = docs_of(spark, texts).withColumn("source", F.lit("a"))
+        got = mixing.mixture(d, seed=seed).collect()
+        taken = sum(x._size * len(x._shards) for x in got)
+        assert abs(taken - got[0].target) <= 0.01 * got[0].target and got[0].target > got[0].source_size
+    r = random.Random(12)  # sizes of all orders, several sources, little tolerance
+    texts = ["w " * int(10 ** r.uniform(0, 4.5)) for _ in range(400)] + ["w"] * 60
+    d = docs_of(spark, texts, ["b", "a", "c", None])
+    sizes = mixing.sized(d, "doc_id", "text", "source", 7).select("_source", "_size", "_h", "_key")
+    decided = mixing.decide(sizes, tolerance=0.0001)
+    got = mixing.with_copies(sizes, decided).select("_source", "_size", "target", "copies").collect()
+    for source in {g._source for g in got}:
+        own = [g for g in got if g._source == source]
+        miss = own[0].target - sum(g._size * g.copies for g in own)
+        left = [g._size for g in own if g.copies == min(h.copies for h in own) and g._size]
+        # within the tolerance, or no document is left that fits
+        assert miss <= 0.0001 * own[0].target or not left or min(left) > miss, (source, miss)
+        assert abs(miss) <= 0.01 * own[0].target
+
+
 # line dedup
 def brute_lines(texts, min_words):
     lines = [(t or "").split("\n") for t in texts]
