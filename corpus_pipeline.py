@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from colscope.llm import exact_dedup, mixing, near_dedup, sentencepiece_codec, toxicity
 from colscope.llm.common import table, written
 
+#: Output shards of the mix.
+SHARDS = 8
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain, trained on these documents' labels, does not call toxic."""
@@ -24,8 +27,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of the sources: a row for each time that it takes a document."""
-    return mixing.mixed(docs).select(*docs.columns)
+    """The mix of the sources: a row for each time that it takes a document, dealt to SHARDS shards that are each in random order."""
+    return mixing.shuffled(mixing.mixed(docs, SHARDS), SHARDS).select(*docs.columns)
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

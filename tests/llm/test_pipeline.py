@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from colscope.llm import registry
+from colscope.llm import mixing, registry
 
 
 def test_stages(spark, tmp_path):
@@ -36,6 +36,19 @@ def test_stages(spark, tmp_path):
     assert last.count() == len(kept[3]) and last.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
 
 
+def test_mix_is_shuffled(spark, tmp_path):
+    """Each task has a run of one shard's random order, and copies are not side by side."""
+    texts = [" ".join(["w"] * (5 + k % 30)) for k in range(400)]
+    d = spark.createDataFrame([(k, t, "en", f"s{k % 3}", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [x.doc_id for x in corpus_pipeline.mix_sources(spark, d, "").collect()]
+    mix = mixing.mixed(d).select("doc_id", "_shard", "_order").collect()
+    parts = sorted((x._shard, x._order, x.doc_id) for x in mix)
+    assert sorted(got) == sorted(x[2] for x in parts)
+    beside = sum(a == b for a, b in zip(got, got[1:]))
+    follows = {(a[2], b[2]) for a, b in zip(parts, parts[1:]) if a[0] == b[0]}
+    assert beside < len(got) / 50 and sum((a, b) in follows for a, b in zip(got, got[1:])) > 0.9 * len(got)
+
+
 def test_registry():
     names = registry.queries()
     assert {n.split("_")[0] for n in names} == {*(f"op{k}" for k in range(1, 11)), "pipeline"}
