@@ -52,7 +52,15 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     path = scratch(spark, name)
     schema = df.schema
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Delete the files of written() tables. Only for tables whose readers have been written themselves, so that nothing is computed from them again."""
+    for df in frames:
+        delete(df.sparkSession, df._written_at)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

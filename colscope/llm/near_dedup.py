@@ -4,14 +4,19 @@ A document's set holds the hashes of its word shingles; its sketch is the k smal
 steps: equal sets become one representative; inverted lists of retained values propose pairs; sketches of unions filter
 them; Jaccard on full sets decides. Components of the confirmed links are the groups.
 
-A list of a frequent value would give all pairs of a group, so that two things bound the lists. A sketch is only in the
-lists of its rarest values, so many that a similar sketch must be in one of them, too; and the first pass links each
-document to at most one list's centre, the document that has the fewest rarer values. Only lists that still hold
-different components then give pairs, of different components and with enough room for the overlap that they need.
+A list of a frequent value would give all pairs of a group, so that lists don't give pairs. A sketch is only in the
+lists of its rarest values, so many that a similar sketch must be in one of them, too. The first pass links each
+document to at most one list's centre, the document that has the fewest rarer values. In lists that still hold
+different components, every document is compared with the list's centre on full sets. Two documents x and y that share
+less with the centre than their own overlap must be can only be similar if they share something beyond it. So what
+x and y have beyond the centre (their rest) goes into inverted lists by centre and value, rarest values first, and only
+these give pairs. Near copies of one text have little in common beyond that text: the pairs grow with the documents, not
+with the square of a group.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from functools import lru_cache
@@ -21,13 +26,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small, table, written
+from .common import dropped, small, table, written
 from .components import components
 from .url_filter import MAX_BYTES, HASHES, Level, _level
 from .words import IS_SPACE, LOWER, flat_texts, hashes, shingles, spans
 
 #: Values of a sketch; words of a shingle; a link needs 100 * shared >= 75 * union.
 K, WORDS, PER_CENT = 256, 5, 75
+#: Documents that meet their centre in one task.
+CHUNK = 1024
 #: The chance that a pair of just the least similarity has fewer shared retained values than are asked for.
 MISS = 1e-10
 
@@ -66,7 +73,7 @@ def least_shared(n: int, k: int = K, per_cent: int = PER_CENT) -> int:
 
 
 def sketched(docs: DataFrame, id_col: str, text_col: str, k: int, words: int) -> DataFrame:
-    """`_id`, `n` (set size), `f1`, `f2` (128-bit fingerprint of the set), `sketch` (its k smallest hashes, as signed numbers in unsigned order)."""
+    """`_id`, `n` (set size), `f1`, `f2` (128 bits of a SHA-256 of the full sorted set), `sketch` (its k smallest hashes, as signed numbers in unsigned order)."""
     kind = docs.select(id_col).schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,8 +83,9 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, k: int, words: int) ->
                 ns, f1, f2, sk = [], [], [], []
                 for s in sets_of(part.column(1), words):
                     ns.append(len(s))
-                    f1.append(int(np.bitwise_xor.reduce(s * (s | np.uint64(1)) ^ (s >> np.uint64(29)))) if len(s) else 0)
-                    f2.append(int(s.sum(dtype=np.uint64)))
+                    one, two = np.frombuffer(hashlib.sha256(s.tobytes()).digest()[:16], np.uint64).tolist()
+                    f1.append(one)
+                    f2.append(two)
                     sk.append(s[:k].view(np.int64))
                 lens = np.array([len(x) for x in sk], np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)), pa.array(np.concatenate(sk)))
@@ -89,10 +97,17 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, k: int, words: int) ->
 
 def _enough(n1: Column, n2: Column, p1: Column, p2: Column, k: int, per_cent: int) -> Column:
     """Whether sets of these sizes can be similar, with their first shared value at these places of the common order."""
-    sizes = (F.least(n1, n2) * 100 >= F.greatest(n1, n2) * per_cent) & n1.isNotNull() & n2.isNotNull()
-    need = F.ceil((n1 + n2) * per_cent / F.lit(100 + per_cent) - 1e-9)
-    room = F.least(n1 - p1, n2 - p2) + 1 >= need
-    return sizes & (room | (F.greatest(n1, n2) > k))  # only whole sets have exact places
+    room = F.least(n1 - p1, n2 - p2) + 1 >= _need(n1, n2, per_cent)
+    return _sizes(n1, n2, per_cent) & (room | (F.greatest(n1, n2) > k))  # only whole sets have exact places
+
+
+def _sizes(n1: Column, n2: Column, per_cent: int) -> Column:
+    return (F.least(n1, n2) * 100 >= F.greatest(n1, n2) * per_cent) & n1.isNotNull() & n2.isNotNull()
+
+
+def _need(n1: Column, n2: Column, per_cent: int) -> Column:
+    """What two similar sets of these sizes share at least."""
+    return F.ceil((n1 + n2) * per_cent / F.lit(100 + per_cent) - 1e-9)
 
 
 def _postings(reps: DataFrame, k: int, per_cent: int) -> DataFrame:
@@ -130,6 +145,105 @@ def _overlap(x: np.ndarray, y: np.ndarray) -> int:
     return int((both[1:] == both[:-1]).sum())
 
 
+def _full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """`_id`, `set` (sorted hashes as bytes) of the documents in wanted, a written table of `_id`, from their whole texts. Of rows that share an id one is taken."""
+    kind = wanted.schema["_id"].dataType.simpleString()
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets_of(part.column(1), words)], pa.binary())], ["_id", "set"])
+
+    texts = docs.select(F.col(id_col).alias("_id"), text_col).join(small(wanted), "_id", "left_semi")
+    return written(texts.mapInArrow(whole, f"_id {kind}, set binary"), "sets", "none")
+
+
+def _beyond(open_: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, per_cent: int) -> DataFrame:
+    """For each document (`id`, `n`) of an open list and the list's centre `c` of `c_n` hashes: `o`, what they share, `linked`, and `rest`, the document's other hashes. All from full sets.
+
+    A centre meets its documents in chunks, so that one centre's documents need not be in one task.
+    """
+    spokes = written(open_.where("id <> c_id").select("id", "n", F.col("c_id").alias("c")).distinct(), "spokes")
+    chunks = written(spokes.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / F.lit(CHUNK)).cast("int").alias("chunks")), "chunks")
+    ids = written(spokes.select(F.col("id").alias("_id")).unionByName(chunks.select(F.col("c").alias("_id"))).distinct(), "ids")
+    sets = _full_sets(docs, ids, id_col, text_col, words)
+    hubs = chunks.select(F.col("c").alias("_id"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")).join(sets, "_id")
+    hubs = hubs.select(F.col("_id").alias("c"), "chunk", F.lit(0).cast("long").alias("n"), F.col("_id").alias("id"), "set")
+    rims = spokes.join(small(chunks), "c").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    rims = rims.join(sets, F.col("id") == F.col("_id")).select("c", "chunk", "n", "id", "set")
+    kind = spokes.schema["id"].dataType.simpleString()
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub = np.zeros(0, np.uint64)
+        for b in batches:
+            shared, sizes, linked, rest, rows = [], [], [], [], []
+            for r, n in enumerate(b.column(2).to_pylist()):
+                s = np.frombuffer(b.column(4)[r].as_buffer(), np.uint64)
+                if not n:  # a centre comes before its documents
+                    hub = s
+                    continue
+                in_hub = hub[np.minimum(np.searchsorted(hub, s), len(hub) - 1)] == s
+                o = int(in_hub.sum())
+                shared.append(o)
+                sizes.append(len(hub))
+                linked.append(100 * o >= per_cent * (len(s) + len(hub) - o))
+                rest.append(s[~in_hub].view(np.int64))
+                rows.append(r)
+            at = pa.array(rows, pa.int64())
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in rest])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *rest])))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(3).take(at), b.column(2).take(at), pa.array(sizes, pa.int64()), pa.array(shared, pa.int64()), pa.array(linked, pa.bool_()), lists], ["c", "id", "n", "c_n", "o", "linked", "rest"])
+
+    both = hubs.unionByName(rims).repartition("c", "chunk").sortWithinPartitions("c", "chunk", "n")
+    out = written(both.mapInArrow(split, f"c {kind}, id {kind}, n long, c_n long, o long, linked boolean, rest array<long>"), "rests")
+    dropped(spokes, chunks, ids, sets)
+    return out
+
+
+def _rest_pairs(rests: DataFrame, labels: DataFrame, per_cent: int) -> DataFrame:
+    """Pairs (a, b) of different components, written, which hold every link between documents of one centre.
+
+    Let c be a centre that x isn't linked to, so that x shares fewer hashes with c than a set of c's size asks for. If
+    both x and y share with c what their own sizes ask for, which only sets smaller than c's can, the pair is given.
+    Else a link needs at least (what their sizes ask for) - (the lesser of what they share with c) common hashes in
+    their rests: a prefix filter over the rests, by centre, finds these. A pair with several common centres is looked for
+    with the one that both share most with, or else, where these differ, with each.
+    """
+    at = lambda df: df.join(small(labels), F.col("id") == F.col("node"), "left").withColumn("label", F.coalesce("label", "id")).drop("node")
+    of = rests.groupBy("c").agg(F.min("n").alias("lo"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
+    best = rests.groupBy("id").agg(F.max_by("c", F.struct("o", "c")).alias("best"))
+    rows = written(at(rests).join(small(written(of, "least")), "c").join(small(written(best, "best")), "id"), "rows")
+    need = lambda m: _need(F.col("n"), m, per_cent)
+    n2, o2 = F.col("n2"), F.col("o2")
+    # both share enough with the centre
+    x = rows.where(~F.col("linked") & (F.col("o") >= need(F.col("lo")))).select("c", "id", "n", "o", "label", "lo")
+    # y is smaller than the centre, or else x would be linked to that
+    y = rows.where((F.col("n") < F.col("c_n")) & (F.col("o") >= need(F.col("lo")))).select("c", *[F.col(v).alias(f"{v}2") for v in ("id", "n", "o", "label")])
+    close = x.join(y, "c").where((F.col("label") != F.col("label2")) & (F.least("o", o2) >= need(n2)) & _sizes(F.col("n"), n2, per_cent)).select("id", "id2")
+    # the rests' lists that hold several components
+    posted = rows.select("c", "id", "n", "o", "label", "best", "lo", F.size("rest").alias("r"), F.explode("rest").alias("value"))
+    lists = posted.groupBy("c", "value").agg(F.count(F.lit(1)).alias("f"), F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").drop("l", "h")
+    lists = written(lists, "rest-lists")
+    key = ["c", "id", "n", "o", "label", "best", "lo", "r"]
+    held = posted.join(small(lists), ["c", "value"]).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("f", "value"))).alias("v"))
+    alone = F.col("r") - F.size("v")  # hashes that no document of another component has
+    least = F.greatest(F.lit(1), need(F.greatest(F.col("lo"), F.ceil(F.col("n") * per_cent / 100))) - F.col("o"))
+    held = held.withColumn("alone", alone).withColumn("take", (F.col("r") - least + 1 - F.col("alone")).cast("int")).where("take > 0")
+    held = written(held.withColumn("v", F.transform(F.slice("v", F.lit(1), F.col("take")), lambda s: s["value"])).drop("take"), "held")
+    one = held.select("*", F.posexplode("v").alias("at", "value")).withColumn("place", F.col("alone") + F.col("at") + 1)
+    two = one.select("c", "value", *[F.col(v).alias(f"{v}2") for v in ("id", "n", "o", "label", "best", "r", "v", "at", "place")])
+    room = F.least(F.col("r") - F.col("place"), F.col("r2") - F.col("place2")) + 1
+    before = F.arrays_overlap(F.slice("v", F.lit(1), F.col("at")), F.slice("v2", F.lit(1), F.col("at2")))
+    asked = (F.col("best") != F.col("best2")) | (F.col("best") == F.col("c"))
+    beyond = one.join(two, ["c", "value"]).where(
+        (F.col("id") < F.col("id2")) & (F.col("label") != F.col("label2")) & asked & _sizes(F.col("n"), n2, per_cent) & (room >= need(n2) - F.least("o", o2)) & ~before
+    ).select("id", "id2")
+    pairs = written(close.unionByName(beyond).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct(), "rest-pairs")
+    dropped(rows, lists, held)
+    return pairs
+
+
 def _compared(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, words: int, per_cent: int) -> DataFrame:
     """The pairs (a, b) that are links. Sketches decide small sets; of the others they pass on those whose union's sketch may be that of a link, and full sets decide."""
     pairs = written(pairs.select("a", "b"), "pairs")
@@ -159,16 +273,7 @@ def _compared(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, t
     both = side(side(pairs, own, "a", "n", "sketch"), own, "b", "n", "sketch").select("a", "b", "n_a", "sketch_a", "n_b", "sketch_b")
     passed = written(both.mapInArrow(filtered, f"a {kind}, b {kind}, sure boolean"), "passed")
     unsure = passed.where("not sure").select("a", "b")
-    wanted = nodes(unsure)
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets_of(part.column(1), words)], pa.binary())], ["_id", "set"])
-
-    texts = docs.select(F.col(id_col).alias("_id"), text_col).join(small(wanted), "_id", "left_semi")
-    sets = written(texts.mapInArrow(whole, f"_id {kind}, set binary"), "sets", "none")
+    sets = _full_sets(docs, nodes(unsure), id_col, text_col, words)
 
     def decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -180,7 +285,9 @@ def _compared(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, t
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep))
 
     full = side(side(unsure, sets, "a", "set"), sets, "b", "set").select("a", "b", "set_a", "set_b").mapInArrow(decided, f"a {kind}, b {kind}")
-    return written(passed.where("sure").select("a", "b").unionByName(full), "links")
+    links = written(passed.where("sure").select("a", "b").unionByName(full), "links")
+    dropped(pairs, own, passed, sets)
+    return links
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, words: int = WORDS, per_cent: int = PER_CENT) -> DataFrame:
@@ -188,7 +295,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Null and empty texts, and those without words, have no set and no links. Texts of fewer than `words` words have one
     shingle of all their words. Rows with equal sets are linked whatever their texts are. Rows that share an id are one
-    node: what one of them is linked to is linked to the others. Rows with a null id get a null component, and stay.
+    node: what one of them is linked to is linked to the others; where their texts differ, links of all of them are only
+    looked for among equal sets, centres and lists of two. Rows with a null id get a null component, and stay. An empty
+    table gives an empty result; columns other than id and text are not read, whatever their names.
     """
     every = written(sketched(docs, id_col, text_col, k, words), "sketched", "none")
     alive = every.where("n > 0 and _id is not null")
@@ -198,27 +307,31 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     with_rep = lambda df: df.join(small(classes), key, "left").withColumn("rep", F.coalesce("rep", "_id"))
     reps = with_rep(alive).where("_id = rep").select("_id", "n", "sketch")
     posted = written(_postings(reps, k, per_cent), "postings")
-    centre = F.min(F.struct("place", "id", "n"))
+    centre = F.min(F.struct("place", "n", "id"))
     lists = written(posted.groupBy("value").agg(F.count(F.lit(1)).alias("m"), centre.alias("c")).where("m > 1").select("value", F.col("c.id").alias("c_id"), F.col("c.n").alias("c_n"), F.col("c.place").alias("c_place")), "lists")
     shared = posted.join(small(lists), "value")
     near = shared.where((F.col("id") != F.col("c_id")) & _enough(F.col("n"), F.col("c_n"), F.col("place"), F.col("c_place"), k, per_cent))
     votes = near.groupBy("id", "c_id").agg(F.count(F.lit(1)).alias("m"))
     best = votes.groupBy("id").agg(F.max_by("c_id", F.struct("m", "c_id")).alias("c_id"))
     first = _compared(best.select(F.least("id", "c_id").alias("a"), F.greatest("id", "c_id").alias("b")).distinct(), reps, docs, id_col, text_col, k, words, per_cent)
-    # lists whose documents aren't all in one component give pairs of different components
+    # lists whose documents aren't all in one component
     labels = components(first)
-    placed = written(shared.select("value", "id", "n", "place").join(small(labels), F.col("id") == F.col("node"), "left").select("value", "id", "n", "place", F.coalesce("label", "id").alias("label")), "placed")
-    mixed = placed.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("value")
-    open_ = written(placed.join(small(written(mixed, "mixed")), "value", "left_semi"), "open")
-    # a pair comes from the first list that holds both, where their places leave the most room; both have their lists in one order
-    own = open_.groupBy("id").agg(F.transform(F.array_sort(F.collect_set(F.struct("place", "value"))), lambda x: x["value"]).alias("lists"))
-    open_ = written(open_.join(own, "id").withColumn("at", F.array_position("lists", F.col("value")).cast("int") - 1), "listed")
-    other = open_.select("value", *[F.col(c).alias(f"{c}2") for c in ("id", "n", "place", "label", "lists", "at")])
-    before = F.arrays_overlap(F.slice("lists", F.lit(1), F.col("at")), F.slice("lists2", F.lit(1), F.col("at2")))
-    cross = open_.join(other, ["value"]).where((F.col("id") < F.col("id2")) & (F.col("label") != F.col("label2")) & _enough(F.col("n"), F.col("n2"), F.col("place"), F.col("place2"), k, per_cent) & ~before)
-    pairs = cross.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
+    placed = written(shared.join(small(labels), F.col("id") == F.col("node"), "left").withColumn("label", F.coalesce("label", "id")).drop("node"), "placed")
+    dropped(posted, lists, labels)
+    mixed = placed.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi").select("value", "m")
+    open_ = written(placed.join(small(written(mixed, "mixed")), "value"), "open")
+    dropped(placed)
+    # a list of two gives its pair
+    two = open_.where((F.col("m") == 2) & (F.col("id") != F.col("c_id")) & _enough(F.col("n"), F.col("c_n"), F.col("place"), F.col("c_place"), k, per_cent))
+    two = written(two.select(F.least("id", "c_id").alias("a"), F.greatest("id", "c_id").alias("b")).distinct(), "twos")
+    rests = _beyond(open_.where("m > 2"), docs, id_col, text_col, words, per_cent)
+    known = first.unionByName(rests.where("linked").select(F.col("c").alias("a"), F.col("id").alias("b")))
+    labels = components(known)
+    pairs = _rest_pairs(rests, labels, per_cent).unionByName(two).distinct()
     second = _compared(pairs, reps, docs, id_col, text_col, k, words, per_cent)
-    labels = written(components(first.unionByName(second)), "groups")
+    dropped(open_, labels)
+    labels = components(known.unionByName(second))
+    dropped(rests)
     rows = with_rep(every.select("_id", *key))
     rows = rows.join(small(labels), F.col("rep") == F.col("node"), "left")
     component = F.when((F.col("n") == 0) | F.col("_id").isNull(), F.col("_id")).otherwise(F.coalesce("label", "rep"))

@@ -84,16 +84,80 @@ def near_texts():
     return out
 
 
-@pytest.mark.parametrize("k", [256, 16])
-def test_near_groups(spark, k):
+def test_near_groups(spark):
     texts = near_texts()
     sizes, label = brute_groups(texts)
-    got = {r._id: r for r in near_dedup.near_groups(docs_of(spark, texts), k=k).collect()}
-    if k == 256:
-        assert [got[i].component_id for i in range(len(texts))] == label and [got[i].n_shingles for i in range(len(texts))] == sizes
-        assert [got[i].kept for i in range(len(texts))] == [i == x for i, x in enumerate(label)]
-    else:  # a small sketch may miss; it never links what is not linked
-        assert all(label[got[i].component_id] == label[i] for i in range(len(texts)))
+    got = {r._id: r for r in near_dedup.near_groups(docs_of(spark, texts)).collect()}
+    assert [got[i].component_id for i in range(len(texts))] == label and [got[i].n_shingles for i in range(len(texts))] == sizes
+    assert [got[i].kept for i in range(len(texts))] == [i == x for i, x in enumerate(label)]
+
+
+def test_near_groups_recall_of_cut_sketches(spark):
+    """Sketches of 64 of sets of up to 600: nothing is linked that is not linked, and nine of ten linked documents are found at least."""
+    r, texts = random.Random(21), []
+    for _ in range(12):
+        base = [f"y{r.randrange(3000)}" for _ in range(r.randint(200, 600))]
+        for _ in range(6):
+            c = list(base)
+            for at in r.sample(range(len(c)), r.randint(0, len(c) // 60)):
+                c[at] = f"y{r.randrange(3000)}"
+            texts.append(" ".join(c))
+    sizes, label = fast_groups(texts)
+    got = {x._id: x for x in near_dedup.near_groups(docs_of(spark, texts), k=64).collect()}
+    assert all(label[got[i].component_id] == label[i] for i in range(len(texts)))
+    late = [i for i in range(len(texts)) if label[i] != i and sizes[i] > 64]
+    found = sum(got[i].component_id == label[i] for i in late) / len(late)
+    assert len(late) > 40 and found >= 0.9
+
+
+def counted(monkeypatch):
+    """Rows of the tables that near_groups writes, by name."""
+    seen, write = {}, near_dedup.written
+
+    def counting(df, name, *args):
+        out = write(df, name, *args)
+        seen[name] = max(seen.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "written", counting)
+    return seen
+
+
+def test_near_pairs_do_not_grow_with_the_square(spark, monkeypatch):
+    """A passage in 400 documents that are else unlike, and 300 heavy edits of one text of which most are no link of any other."""
+    r = random.Random(11)
+    word = lambda: f"x{r.randrange(10**9)}"
+    passage, base = " ".join(word() for _ in range(120)), [word() for _ in range(330)]
+    texts = [passage + " " + " ".join(word() for _ in range(r.randint(20, 60))) for _ in range(400)]
+    for _ in range(300):
+        c = list(base)
+        for at in r.sample(range(330), r.randint(6, 16)):
+            c[at] = word()
+        texts.append(" ".join(c))
+    texts.append(" ".join(base))
+    seen = counted(monkeypatch)
+    got = {x._id: x.component_id for x in near_dedup.near_groups(docs_of(spark, texts)).collect()}
+    _, label = fast_groups(texts)
+    assert [got[i] for i in range(len(texts))] == label and len(set(label)) > 200
+    assert max(seen.get(n, 0) for n in ("pairs", "rest-pairs", "rests")) < 4 * len(texts)
+
+
+def fast_groups(texts):
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    label = list(range(len(texts)))
+
+    def top(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            o = len(a & sets[j])
+            if 100 * o >= 75 * (len(a) + len(sets[j]) - o):
+                x, y = top(i), top(j)
+                label[max(x, y)] = min(x, y)
+    return [len(s) for s in sets], [top(i) for i in range(len(texts))]
 
 
 def test_near_groups_edges(spark):
