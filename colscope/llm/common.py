@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a key table (up to about 100 bytes each) that may be broadcast; larger ones are joined by a shuffle.
@@ -63,8 +63,10 @@ def dropped(*frames: DataFrame) -> None:
         delete(df.sparkSession, df._written_at)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most so many rows, which is counted; else as it is, for a shuffle join. Give it a written table, or it is computed twice."""
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, weight: Column | None = None) -> DataFrame:
+    """df with a broadcast hint if it has at most so many rows, which is counted, else as it is, for a shuffle join. With `weight`, the bytes of a row, they may sum to 100 for each of these rows at most. Give it a written table, or it is computed twice."""
+    if weight is not None:
+        return F.broadcast(df) if (df.agg(F.sum(weight)).first()[0] or 0) <= 100 * rows else df
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 

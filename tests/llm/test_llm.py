@@ -357,6 +357,21 @@ def test_line_dedup(spark):
     assert line_dedup.line_dedup(docs_of(spark, ["a"]).limit(0)).count() == 0
     twice = docs_of(spark, [LONG, "a"])
     assert [x._n_gone for x in line_dedup.line_dedup(twice.unionAll(twice)).collect()] == [0] * 4
+    nulls = spark.createDataFrame([(None, "p q r s\nu", "k", 1, 2, 3), (1, "p q r s\nu", "l", 1, 2, 3)], "doc_id long, text string, _kept string, _t int, _i int, _id int")
+    got = line_dedup.line_dedup(nulls, min_words=4)
+    assert got.columns == ["doc_id", "text", "_t", "_i", "_id", "_kept", "_n_lines", "_n_gone"]
+    assert rows(got) == sorted([(None, "p q r s\nu", 1, 2, 3, "p q r s\nu", 2, 0), (1, "p q r s\nu", 1, 2, 3, "", 2, 2)], key=str)
+
+
+def test_line_dedup_reads_windows_of_repeated_fingerprints_only(spark, monkeypatch):
+    texts = ["\n".join(f"only {k} {j} x" for j in range(200)) for k in range(20)]
+    texts[7] = texts[7] + "\n" + "\n".join(texts[3].split("\n")[20:50])
+    seen, write = {}, line_dedup.written
+    monkeypatch.setattr(line_dedup, "written", lambda df, name, *a: seen.setdefault(name, write(df, name, *a)))
+    monkeypatch.setattr(line_dedup, "dropped", lambda *a: None)
+    got = {x.doc_id: x._n_gone for x in line_dedup.line_dedup(docs_of(spark, texts)).collect()}
+    assert got == {k: 30 * (k == 7) for k in range(20)}
+    assert seen["windows"].count() > 3500 and seen["seen"].count() < 120
 
 
 # toxicity
