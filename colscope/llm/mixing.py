@@ -4,13 +4,17 @@ Targets come from water-filling over the table of sources. Inside a source, docu
 their id, cut into blocks of equal hash range. Which documents are taken once more than the others is found from block
 sums: whole blocks first, then the block that holds the edge is cut into finer blocks, and only the last, small one is
 ordered row by row. Where a long document at the edge leaves a source far from its target, the search goes on behind it
-among documents of at most half the gap, which halves the gap or takes all of them. Output shards get blocks by a splitting tree: each node halves its units (source, block, copy) at
-random, which makes the counts per source a multivariate hypergeometric draw; with these counts as exact quotas every
-shard draws disjoint runs of the source's permuted blocks, and is shuffled by itself.
+among documents of at most half the gap, which halves the gap or takes all of them.
+
+Output shards get blocks by a splitting tree: each node halves its units (source, block, copy) at random, which makes the
+counts per source a multivariate hypergeometric draw. With these counts as exact quotas every shard draws disjoint runs
+of each source's permuted blocks, and is shuffled by itself. What the mix takes is what the shards have drawn. Ranks of
+units come from counts by hash range, so that no task orders all units of a node or of a source.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -21,8 +25,10 @@ from .common import small, table, written
 WEIGHTS = (5, 2, 1)
 #: Bits of the hash, and of it for each step of the search for the edge: blocks of a source, then blocks of a block ...
 HASH_BITS, STEP_BITS, STEPS = 60, 10, 3
-#: Bits of the hash that name the block which goes to a shard.
-BLOCK_BITS = 6
+#: Documents of a block, about; a source that has fewer than BLOCKS blocks for each shard gets smaller ones, of a document at least.
+BLOCK_ROWS, BLOCKS = 256, 8
+#: Words of a shard, about, where the number of shards is not given; it is a power of two.
+SHARD_WORDS, LEAST_SHARDS = 64_000_000, 8
 #: A source that misses its target by more than this share of it is filled further.
 TOLERANCE = 0.01
 #: Further takes: documents after one key, up to another, of a size of at most `cap`.
@@ -154,29 +160,57 @@ def decide(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
         decided = _with_extra(sizes, written(edged.drop(*step.columns), "edged"))
 
 
-def shard_units(sizes: DataFrame, decided: DataFrame, shards: int, seed: int) -> DataFrame:
-    """The shard of each unit (_of, _block, _copy). Its windows run over units, of which a source has at most 2 * 2**BLOCK_BITS, however large it is."""
+def shards_for(decided: DataFrame) -> int:
+    """The number of shards for what the sources' targets come to."""
+    words = decided.agg(F.sum("target")).first()[0] or 0
+    return max(LEAST_SHARDS, 1 << math.ceil(math.log2(max(1, words / SHARD_WORDS))))
+
+
+def block_bits(sizes: DataFrame, shards: int) -> DataFrame:
+    """`_of`, `_bits`: the leading bits of the hash that name a source's blocks."""
+    n = F.count(F.lit(1))
+    blocks = F.least(n, F.greatest(n / F.lit(BLOCK_ROWS), F.lit(BLOCKS * shards)))
+    return written(sizes.groupBy(F.col("_source").alias("_of")).agg(F.ceil(F.log2(blocks)).cast("int").alias("_bits")), "bits")
+
+
+def _block() -> Column:
+    return F.call_function("shiftright", F.col("_h"), F.lit(HASH_BITS) - F.col("_bits"))
+
+
+def _ranked(df: DataFrame, parts: Sequence[str], order: Column, ties: Sequence[str], name: str) -> DataFrame:
+    """df with `name`, the place (from 1) of each row among those with equal `parts`, by `order`, a hash. Only rows of one range of hashes are ordered in a task; ranges are counted."""
+    rows = df.withColumn("_o", order).withColumn("_range", F.shiftright("_o", HASH_BITS - STEP_BITS))
+    upto = Window.partitionBy(*parts).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = rows.groupBy(*parts, "_range").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(upto), F.lit(0)))
+    keys = [*parts, "_range"]
+    ranges = ranges.select(*[F.col(c).alias(f"r{c}") for c in keys], "_before")
+    on = [F.col(c).eqNullSafe(F.col(f"r{c}")) for c in keys]
+    inside = F.row_number().over(Window.partitionBy(*keys).orderBy("_o", *ties))
+    return rows.join(ranges, on).withColumn(name, F.col("_before") + inside).select(*df.columns, name)
+
+
+def shard_units(sizes: DataFrame, decided: DataFrame, bits: DataFrame, shards: int, seed: int) -> DataFrame:
+    """The shard of each unit (_of, _block, _copy), a written table. Shards have equal numbers of units, but for one."""
     if shards & (shards - 1) or shards < 1:
         raise ValueError("the number of shards must be a power of two")
-    units = with_copies(sizes, decided).groupBy(F.col("_source").alias("_of"), _block().alias("_block")).agg(F.max("copies").alias("n")).where("n > 0")
+    units = with_copies(sizes, decided).join(small(bits), _of()).groupBy("_of", _block().alias("_block")).agg(F.max("copies").alias("n")).where("n > 0")
     units = written(units.select("_of", "_block", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("_copy")), "units")
+    own = ["_of", "_block", "_copy"]
     tree = units.withColumn("_node", F.lit(0))
     for level in range(shards.bit_length() - 1):
-        node = Window.partitionBy("_node")
-        at = F.row_number().over(node.orderBy(_hash(seed + 101 + level, F.col("_of"), F.col("_block"), F.col("_copy")), "_of", "_block", "_copy"))
-        n = F.count(F.lit(1)).over(node)
+        n = tree.groupBy(F.col("_node").alias("_of_node")).agg(F.count(F.lit(1)).alias("_units"))
+        ranked = _ranked(tree, ["_node"], _hash(seed + 101 + level, *[F.col(c) for c in own]), own, "_at")
         # of an odd number of units the larger half goes left and right in turn
-        half = (n + F.pmod(F.col("_node") + level, F.lit(2))).cast("long") / 2
-        tree = tree.withColumn("_node", F.col("_node") * 2 + F.when(at <= F.floor(half), 0).otherwise(1))
-    source = Window.partitionBy("_of")
-    quota = tree.select("_of", F.col("_node").alias("shard"), F.row_number().over(source.orderBy("_node", "_block", "_copy")).alias("_at"))
-    drawn = units.withColumn("_at", F.row_number().over(source.orderBy(_hash(seed + 100, F.col("_of"), F.col("_block"), F.col("_copy")), "_block", "_copy")))
-    q = quota.withColumnRenamed("_of", "_q").withColumnRenamed("_at", "_qat")
-    return drawn.join(q, F.col("_of").eqNullSafe(F.col("_q")) & (F.col("_at") == F.col("_qat"))).select("_of", "_block", "_copy", "shard")
-
-
-def _block() -> Column:
-    return F.shiftright(F.col("_h"), HASH_BITS - BLOCK_BITS)
+        half = (F.col("_units") + F.pmod(F.col("_node") + level, F.lit(2))).cast("long") / 2
+        sides = ranked.join(F.broadcast(n), F.col("_node") == F.col("_of_node"))  # a row a node
+        tree = written(sides.select(*own, (F.col("_node") * 2 + F.when(F.col("_at") <= F.floor(half), 0).otherwise(1)).alias("_node")), f"tree{level}")
+    # exact quotas of source and shard, as runs of places among the source's blocks
+    quota = tree.groupBy("_of", F.col("_node").alias("shard")).agg(F.count(F.lit(1)).alias("n"))
+    after = Window.partitionBy("_of").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    quota = quota.withColumn("upto", F.sum("n").over(after)).groupBy(F.col("_of").alias("_q")).agg(F.array_sort(F.collect_list(F.struct("upto", "shard"))).alias("_runs"))
+    drawn = _ranked(units, ["_of"], _hash(seed + 100, *[F.col(c) for c in own]), own, "_at").join(small(written(quota, "quotas"), weight=16 * F.size("_runs")), F.col("_of").eqNullSafe(F.col("_q")))
+    shard = F.filter("_runs", lambda r: r["upto"] >= F.col("_at"))[0]["shard"]
+    return written(drawn.select(*own, shard.cast("int").alias("shard")), "drawn")
 
 
 def with_copies(rows: DataFrame, decided: DataFrame) -> DataFrame:
@@ -186,29 +220,45 @@ def with_copies(rows: DataFrame, decided: DataFrame) -> DataFrame:
     return rows.join(small(own), F.col("_source").eqNullSafe(F.col("_of"))).withColumn("copies", F.col("times") + once_more.cast("int")).drop("_of", "times", "rest", "upto", "gap", "extra", "more")
 
 
-def mixture(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, share: float = 1.5, cap: float = 2.0, seed: int = 7) -> DataFrame:
-    """docs with `_size`, `source_size`, `target` and `_shards`, the output shard of each copy that the mix takes (empty: none).
+def drawn_copies(rows: DataFrame, sizes: DataFrame, shards: int | None, weights: Sequence[float], share: float, cap: float, seed: int) -> DataFrame:
+    """rows (of sized(), with the written `sizes` of all rows of it) with source_size, target and `_shards`, those that draw a copy of the row, in order of the copies."""
+    decided = decide(sizes, weights, share, cap)
+    shards = shards or shards_for(decided)
+    bits = block_bits(sizes, shards)
+    units = shard_units(sizes, decided, bits, shards, seed)
+    blocks = units.groupBy(F.col("_of").alias("_b_of"), F.col("_block").alias("_b")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_copy", "shard"))), lambda u: u["shard"]).alias("_all"))
+    placed = with_copies(rows, decided).join(small(bits), _of()).withColumn("_block", _block())
+    placed = placed.join(small(written(blocks, "blocks")), F.col("_source").eqNullSafe(F.col("_b_of")) & (F.col("_block") == F.col("_b")), "left")
+    return placed.withColumn("_shards", F.slice(F.coalesce("_all", F.array().cast("array<int>")), F.lit(1), F.col("copies")))
+
+
+def mixture(docs: DataFrame, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, share: float = 1.5, cap: float = 2.0, seed: int = 7) -> DataFrame:
+    """docs with `_size`, `source_size`, `target` and `_shards`, the output shard of each copy that the mix takes (empty: none); these replace columns of the same names.
 
     A null text has size 0, a null source is a source by itself and the last in order, a null id hashes as an empty one.
-    A source whose texts are all empty has target 0. Rows that repeat id and text get equal decisions. Empty docs give
-    an empty result. Decisions reach the texts by broadcasts of the tables of sources and of their blocks, so that no
-    text is shuffled; beyond a checked size they are joined by a shuffle.
+    A source whose texts are all empty has target 0. Rows that repeat id and text get equal decisions; of documents that
+    are equally good to close a gap, that with the smallest hash is taken. Empty docs give an empty result. Other
+    columns may have any names. Decisions reach the texts by broadcasts of the tables of sources and of their blocks, so
+    that no text is shuffled; beyond a checked size they are joined by a shuffle.
     """
-    rows = sized(docs, id_col, text_col, source_col, seed)
+    kept = [c for c in docs.columns if c not in MIXTURE]
+    rows = docs.select(F.struct(*[F.col(c) for c in kept]).alias("_row"), F.col(id_col).alias("_i"), F.col(text_col).alias("_t"), F.col(source_col).alias("_s"))
+    rows = sized(rows, "_i", "_t", "_s", seed)
     sizes = written(rows.select("_source", "_size", "_h", "_key"), "sizes")
-    decided = decide(sizes, weights, share, cap)
-    units = shard_units(sizes, decided, shards, seed)
-    # the shards of a block's first and second copies, in order
-    blocks = units.groupBy("_of", "_block").agg(F.transform(F.array_sort(F.collect_list(F.struct("_copy", "shard"))), lambda u: u["shard"]).alias("_all"))
-    placed = with_copies(rows, decided).join(small(written(blocks, "blocks")), F.col("_source").eqNullSafe(F.col("_of")) & (_block() == F.col("_block")), "left")
-    return placed.withColumn("_shards", F.slice(F.coalesce("_all", F.array().cast("array<int>")), F.lit(1), F.col("copies"))).drop("_of", "_block", "_all", "copies", "_source")
+    got = drawn_copies(rows, sizes, shards, weights, share, cap, seed)
+    return got.select(*[F.col("_row")[c].alias(c) for c in kept], *MIXTURE)
+
+
+#: Columns that mixture() adds.
+MIXTURE = ["_size", "source_size", "target", "_shards"]
 
 
-def mixed(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, share: float = 1.5, cap: float = 2.0, seed: int = 7) -> DataFrame:
-    """The mix itself: docs' columns, a row for each copy, `_shard` and `_order`, the place in the shard."""
+def mixed(docs: DataFrame, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, share: float = 1.5, cap: float = 2.0, seed: int = 7) -> DataFrame:
+    """The mix itself: docs' columns but for those of mixture(), a row for each copy, `_shard` and `_order`, the place in the shard. Nulls, ties and names are as in mixture()."""
     taken = mixture(docs, shards, id_col, text_col, source_col, weights, share, cap, seed)
-    copies = taken.select(*[F.col(c) for c in docs.columns], F.posexplode("_shards").alias("_c", "_shard"))
-    return copies.withColumn("_order", _hash(seed + 1, F.col(id_col), F.col("_c"))).drop("_c")
+    own = [F.col(c) for c in docs.columns if c not in [*MIXTURE, "_shard", "_order"]]
+    copies = taken.select(F.struct(*own).alias("_row"), F.posexplode("_shards").alias("_c", "_shard")).withColumn("_order", _hash(seed + 1, F.col("_row")[id_col], F.col("_c")))
+    return copies.select("_row.*", "_shard", "_order")
 
 
 def shuffled(mix: DataFrame, shards: int, parts: int = 4) -> DataFrame:
@@ -218,8 +268,15 @@ def shuffled(mix: DataFrame, shards: int, parts: int = 4) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixture(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return out.select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.size("_shards")).cast("long").alias("taken"))
+    """The mix of all documents by row numbers, its shards drawn and shuffled; `taken` sums up what they hold of each document. Texts are read once, to be sized."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    sizes = sized(docs, "doc_id", "text", "source", 7).select("doc_id", "_source", "_size", "_h", "_key", F.monotonically_increasing_id().alias("_row"))
+    sizes = written(sizes, "sizes")
+    drawn = written(drawn_copies(sizes, sizes, None, WEIGHTS, 1.5, 2.0, 7).select("_row", "doc_id", "_size", "source_size", "target", "_shards"), "taken")
+    copies = drawn.select("_row", "_size", F.posexplode("_shards").alias("_c", "_shard")).withColumn("_order", _hash(8, F.col("_row"), F.col("_c")))
+    mix = written(shuffled(copies, LEAST_SHARDS), "mix")
+    taken = mix.groupBy("_row").agg(F.sum("_size").alias("taken"))
+    return drawn.join(taken, "_row", "left").select("doc_id", F.col("_size").alias("size"), "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 ORACLE = r"""

@@ -266,7 +266,8 @@ def test_mixture(spark):
     r = random.Random(5)
     texts = [" ".join(["w"] * r.randint(0, 30)) for _ in range(600)] + [None, ""]
     d = docs_of(spark, texts, ["b", "a", "a", "a", "c", "é", None])
-    got = mixing.mixture(d.withColumn("target", F.lit("x")).drop("target")).collect()
+    got = mixing.mixture(d.withColumns({"target": F.lit("x"), "_h": F.lit(1), "_of": F.lit(2)}), 8).collect()
+    assert {(x._h, x._of) for x in got} == {(1, 2)}
     assert len(got) == len(texts)
     sizes, taken, targets = {}, {}, {}
     for x in got:
@@ -287,9 +288,9 @@ def test_mixture(spark):
         want |= {s: 2.0 * sizes[s] for s in over}
         open_ -= over
     assert all(abs(targets[s] - want[s]) < 1e-6 and abs(taken[s] - want[s]) <= 15 for s in order)
-    again = {x.doc_id: x._shards for x in mixing.mixture(d.repartition(7)).collect()}
+    again = {x.doc_id: x._shards for x in mixing.mixture(d.repartition(7), 8).collect()}
     assert again == {x.doc_id: x._shards for x in got}
-    mix = mixing.mixed(d)
+    mix = mixing.mixed(d, 8)
     assert mix.count() == sum(len(x._shards) for x in got)
     assert mixing.shuffled(mix, 8).columns == [*d.columns, "_shard", "_order"]
     counts = [r["count"] for r in mix.groupBy("_shard").count().collect()]
@@ -298,6 +299,22 @@ def test_mixture(spark):
     assert {x.target for x in mixing.mixture(docs_of(spark, [None, ""])).collect()} == {0.0}
 
 
+def test_shards_draw_exact_quotas(spark):
+    """Every unit is drawn once, shards get equal numbers of units, and a source's share of a shard varies as in a random draw."""
+    d = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("w w").alias("text"), F.when(F.col("id") % 3 > 0, "hot").otherwise("cold").alias("source"))
+    sizes = mixing.sized(d, "doc_id", "text", "source", 7).select("_source", "_size", "_h", "_key")
+    decided = mixing.decide(sizes)
+    units = mixing.shard_units(sizes, decided, mixing.block_bits(sizes, 16), 16, 7).collect()
+    assert len({(u._of, u._block, u._copy) for u in units}) == len(units)
+    each = [sum(u.shard == k for u in units) for k in range(16)]
+    assert max(each) - min(each) <= 1 and sum(each) > 256
+    hot = [sum(u.shard == k and u._of == "hot" for u in units) for k in range(16)]
+    mean = sum(hot) / 16
+    assert len(set(hot)) > 2 and all(abs(h - mean) < 0.6 * mean for h in hot)
+    copies = mixing.with_copies(sizes, decided).agg(F.sum("copies")).first()[0]
+    assert mixing.mixed(d, 16).count() == copies
+
+
 def test_mixture_passes_long_documents(spark):
     """Source a's share is 50 % above its size; one document of it is larger than what is missing, wherever it stands in order."""
     for seed in (1, 2, 3):
