@@ -1,8 +1,9 @@
 """Byte-pair merging for many words at once.
 
-All words lie in one flat symbol array. In each round every word merges its leftmost pair of least rank, all words
-together; merged symbols are squeezed out, finished words leave. That is the order in which the libraries merge, so
-that the result is theirs. Words of more than LONG symbols, for which rounds would be many, take a heap instead.
+All words lie in one flat symbol array. In each round every word merges its pairs of least rank, leftmost first and all
+at once; merged symbols are squeezed out, finished words leave. Where one of these merges makes a new pair that would
+come before the others, the word does its leftmost merge only. That is the order in which the libraries merge, so that
+the result is theirs. Words of any length take the same rounds.
 """
 
 from __future__ import annotations
@@ -16,7 +17,6 @@ from .common import ragged
 NONE = np.int64(1) << 30
 #: Left symbols are shifted by so many bits in pair keys.
 SHIFT = 21
-LONG = 256
 
 
 class Pairs:
@@ -52,7 +52,7 @@ class Pairs:
 
 
 def merge_one(symbols: list[int], pairs: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
-    """The same for one word, by a heap of (rank, place)."""
+    """The same for one word, by a heap of (rank, place); merge() is tested against it."""
     n = len(symbols)
     symbols, after, before = list(symbols), list(range(1, n + 1)), list(range(-1, n - 1))
     heap = []
@@ -77,19 +77,41 @@ def merge_one(symbols: list[int], pairs: dict[tuple[int, int], tuple[int, int]])
     return [s for s in symbols if s >= 0]
 
 
+def _leftmost(sym: np.ndarray, rank: np.ndarray, merged: np.ndarray, n: np.ndarray, least: np.ndarray, pairs: Pairs) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs that one round merges, and their words' numbers: every word's pairs of least rank, without those that overlap one before."""
+    at = np.flatnonzero((rank == np.repeat(least, n)) & (rank < NONE))
+    k = np.arange(len(at))
+    first = np.ones(len(at), bool)
+    first[1:] = at[1:] != at[:-1] + 1
+    at = at[(k - np.maximum.accumulate(np.where(first, k, 0))) % 2 == 0]
+    ends = np.cumsum(n)
+    of = np.searchsorted(ends, at, "right")
+    many = np.bincount(of, minlength=len(n))[of] > 1
+    if many.any():
+        # new pairs with the symbol to the left, as merged by then, and with that to the right, before its own merge
+        x, w = at[many], of[many]
+        new, left = merged[x], sym[np.maximum(x - 1, 0)]
+        beside = np.flatnonzero(x[1:] == x[:-1] + 2) + 1
+        left[beside] = new[beside - 1]
+        right = sym[np.minimum(x + 2, len(sym) - 1)]
+        early = (pairs.find(left, new)[0] <= least[w]) & (x > (ends - n)[w])
+        early |= (pairs.find(new, right)[0] <= least[w]) & (x + 2 < ends[w])
+        if early.any():
+            odd = np.zeros(len(n), bool)
+            odd[w[early]] = True
+            lead = np.ones(len(at), bool)
+            lead[1:] = of[1:] != of[:-1]
+            at, of = at[lead | ~odd[of]], of[lead | ~odd[of]]
+    return at, of
+
+
 def merge(symbols: np.ndarray, lens: np.ndarray, pairs: Pairs) -> tuple[np.ndarray, np.ndarray]:
     """Merged symbols and lengths of words, which are given by flat symbols and lengths of at least one."""
     out_lens = lens.astype(np.int64).copy()
     done_words: list[np.ndarray] = []
     done_symbols: list[np.ndarray] = []
-    starts = np.cumsum(lens) - lens
-    for w in np.flatnonzero(lens > LONG):
-        merged = merge_one(symbols[starts[w] : starts[w] + lens[w]].tolist(), pairs.dict)
-        out_lens[w] = len(merged)
-        done_words.append(np.array([w]))
-        done_symbols.append(np.array(merged, np.int64))
-    words = np.flatnonzero(lens <= LONG)
-    sym, n = ragged(symbols, starts[words], lens[words]).astype(np.int64), lens[words].astype(np.int64)
+    words = np.flatnonzero(lens > 0)
+    sym, n = symbols.astype(np.int64), lens[words].astype(np.int64)
     if len(words):
         ends = np.cumsum(n)
         rank, merged = np.full(len(sym), NONE), np.zeros(len(sym), np.int64)
@@ -99,31 +121,26 @@ def merge(symbols: np.ndarray, lens: np.ndarray, pairs: Pairs) -> tuple[np.ndarr
     while len(words):
         ends = np.cumsum(n)
         starts = ends - n
-        best = np.minimum.reduceat(rank << 32 | np.arange(len(sym)), starts)
-        live = best < (NONE << 32)
-        over = int((~live).sum())
-        if over * 4 >= len(words):  # finished words leave
+        least = np.minimum.reduceat(rank, starts)
+        live = least < NONE
+        if int((~live).sum()) * 4 >= len(words):  # finished words leave
             gone = ~live
             done_words.append(words[gone])
             done_symbols.append(ragged(sym, starts[gone], n[gone]))
             out_lens[words[gone]] = n[gone]
             keep = np.repeat(live, n)
-            sym, rank, merged, words, n, best = sym[keep], rank[keep], merged[keep], words[live], n[live], best[live]
+            sym, rank, merged, words, n, least = sym[keep], rank[keep], merged[keep], words[live], n[live], least[live]
             if not len(words):
                 break
-            new = np.cumsum(n) - n
-            at = (best & 0xFFFFFFFF) - starts[live] + new
-            starts, live = new, np.ones(len(words), bool)
-        else:
-            at = best[live] & 0xFFFFFFFF
+        at, of = _leftmost(sym, rank, merged, n, least, pairs)
         sym[at] = merged[at]
         keep = np.ones(len(sym), bool)
         keep[at + 1] = False
         sym, rank, merged = sym[keep], rank[keep], merged[keep]
-        n = n - live
+        n = n - np.bincount(of, minlength=len(n))
         at = at - np.arange(len(at))
         ends = np.cumsum(n)
-        last, first = ends[live] - 1, (ends - n)[live]
+        last, first = ends[of] - 1, (ends - n)[of]
         rank[at] = NONE
         anew = np.concatenate([at[at < last], at[at > first] - 1])
         rank[anew], merged[anew] = pairs.find(sym[anew], sym[anew + 1])
