@@ -36,9 +36,12 @@ def test_exact_dedup(spark):
         assert (got[k].keep_id, got[k].group_size, got[k].kept, got[k]._digest) == (max(same), len(same), k == max(same), hashlib.sha256((t or "").encode()).hexdigest())
     weak = exact_dedup.exact_dedup(d, digest=lambda c: F.substring(F.sha2(c, 256), 1, 1))  # many texts with one digest
     assert rows(weak, "_id", "keep_id", "group_size") == rows(exact_dedup.exact_dedup(d), "_id", "keep_id", "group_size")
+    assert rows(exact_dedup.exact_dedup(d, rows=0)) == rows(exact_dedup.exact_dedup(d))  # too many repeated digests to be sent
     assert exact_dedup.exact_dedup(d.limit(0)).count() == 0
-    twice = d.unionAll(d.where("doc_id = 4")).withColumn("_digest", F.lit(1)).withColumn("keep_id", F.lit(2))
-    assert sorted(r.doc_id for r in exact_dedup.keep_one(twice.drop("_digest", "keep_id")).collect()) == [1, 2, 4, 5, 7, 8, 9, 10, 11, 12]
+    twice = d.unionAll(d.where("doc_id = 4")).withColumns({c: F.lit("x") for c in ("_digest", "keep_id", "_id", "_sha", "_of", "kept")})
+    left = exact_dedup.keep_one(twice)
+    assert sorted(r.doc_id for r in left.collect()) == [1, 2, 4, 5, 7, 8, 9, 10, 11, 12] and left.columns == twice.columns
+    assert {(r._id, r._sha) for r in left.collect()} == {("x", "x")}
     assert exact_dedup.exact_dedup(twice).where("_id = 4").count() == 2
     shared = spark.createDataFrame([(1, "p"), (1, "q"), (2, "q"), (None, "q"), (None, "z")], "doc_id long, text string")
     assert rows(exact_dedup.keep_one(shared)) == sorted([(1, "p"), (2, "q"), (None, "z")], key=str)
@@ -207,11 +210,33 @@ def test_sentencepiece_frames(spark):
     assert {r.n_tokens for r in sentencepiece_codec.round_trip(d.where("doc_id < 2"), path).collect()} == {1}
 
 
-def test_long_words_take_the_heap():
+def test_merge_rounds_equal_a_heap():
+    """Words of all lengths, and ranks in any order, so that merges make new pairs that come first, too."""
     pairs = bpe.Pairs({(1, 1): (0, 2), (2, 2): (1, 3), (2, 1): (2, 4)})
-    word = [1] * 1001
-    flat, lens = bpe.merge(np.array(word + [1, 1, 1]), np.array([1001, 3]), pairs)
-    assert flat[: lens[0]].tolist() == bpe.merge_one(word, pairs.dict) and flat[lens[0] :].tolist() == [4]
+    flat, lens = bpe.merge(np.array([1] * 1004), np.array([1001, 3]), pairs)
+    assert flat[: lens[0]].tolist() == bpe.merge_one([1] * 1001, pairs.dict) and flat[lens[0] :].tolist() == [4]
+    r = random.Random(17)
+    for _ in range(60):
+        found, symbols = {}, [0, 1, 2]
+        for _ in range(r.randint(1, 25)):
+            pair = (r.choice(symbols), r.choice(symbols))
+            if pair not in found:
+                found[pair] = (r.randint(0, 30), len(symbols))
+                symbols.append(len(symbols))
+        words = [[r.choice([0, 1, 2]) for _ in range(r.choice([1, 2, 3, 10, 400]))] for _ in range(40)]
+        flat, lens = bpe.merge(np.array([x for w in words for x in w]), np.array([len(w) for w in words]), bpe.Pairs(found))
+        want = [bpe.merge_one(w, found) for w in words]
+        assert lens.tolist() == [len(w) for w in want] and flat.tolist() == [x for w in want for x in w]
+
+
+def test_long_words_equal_the_library():
+    import sentencepiece
+
+    path = sentencepiece_codec.model_path()
+    sp, c = sentencepiece.SentencePieceProcessor(model_file=path), sentencepiece_codec.codec(path)
+    r = random.Random(18)
+    texts = ["".join(chr(r.randint(0x4E00, 0x4F00)) for _ in range(3000)), "".join(r.choice("etaoinshr") for _ in range(20_000)), "a" * 9000, "日本語の" * 900]
+    assert c.encode(texts)[0].tolist() == [i for w in sp.encode(texts) for i in w]
 
 
 # token files
