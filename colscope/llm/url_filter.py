@@ -26,7 +26,7 @@ RULES = [
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 ]
-#: Bytes of a cascade that may be sent to every executor. It holds for about 30 million listed keys; more rules than that are judged by a join.
+#: Bytes of a cascade that may be sent to every executor, which do for about 30 million listed keys. More rules are cut into parts by a hash of their key, each with a cascade of its own; pages pass one after another.
 MAX_BYTES = 64 << 20
 HASHES = 6
 
@@ -103,8 +103,8 @@ def _level(keys: DataFrame, n: int, seed: int) -> Level:
             yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(mask.view(np.int64))], ["word", "mask"])
 
     words = np.zeros(bits // 64, np.uint64)
-    for r in keys.select("hash").mapInArrow(masks, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toLocalIterator():
-        words[r.word] = np.int64(r.mask).view(np.uint64)
+    got = keys.select("hash").mapInArrow(masks, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()  # as large as the filter, twice
+    words[got["word"].to_numpy()] = got["mask"].to_numpy().view(np.uint64)
     return Level(words, seed)
 
 
@@ -159,13 +159,13 @@ def candidate_keys(host: Column, path: Column, labels: int, lengths: Sequence[in
 
 
 def url_verdicts(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, url_col: str = "url", default: str = "allow", max_bytes: int = MAX_BYTES) -> DataFrame:
-    """pages with `host`, `path`, `rule`, `verdict` in front of its own columns, which get the prefix `in_` where they clash.
+    """pages with `host`, `path`, `rule`, `verdict` in front of its own columns, which get the prefix `in_` where they clash, as often as it takes.
 
     A rule (action, host, path) fits its host and all subdomains where the path starts with the rule's; the longest
     rule wins. Where none fits, `rule` is null and the verdict is what a cascade says of a key that it does not hold:
     `default`. A null or empty url, or one without `://`, has empty host and path. Repeated rows get equal verdicts.
-    One cascade tells which of a url's candidate keys are rules, a second which rules block. Rules too many for
-    max_bytes are judged by a join on the key, which is exact as well.
+    An empty table gives an empty result. One cascade tells which of a url's candidate keys are rules, a second which
+    rules block. Rules too many for max_bytes are cut into parts, and pages pass the cascades of one part after another.
     """
     spark = pages.sparkSession
     given = {h.translate(str.maketrans(UPPER, LOWER)) + p: a for a, h, p in rules}
@@ -173,46 +173,66 @@ def url_verdicts(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES
         raise ValueError(f"not a rule: {bad[0]}")
     labels = max((k.partition("/")[0].count(".") + 1 for k in given), default=1)
     lengths = sorted({len(k) - k.index("/") for k in given}) or [1]
-    added = ["host", "path", "rule", "verdict"]
-    own = [F.col(c).alias(f"in_{c}" if c in added else c) for c in pages.columns]
     host, path = host_and_path(F.col(url_col))
-    parsed = pages.select(*own, host.alias("host"), path.alias("path"))
-    keyed = parsed.withColumn("_keys", candidate_keys(F.col("host"), F.col("path"), labels, lengths))
-    keys = spark.createDataFrame([(k, a) for k, a in given.items()], "key string, action string")
-    built = build_cascade(keys.select("key"), keyed.select(F.explode("_keys").alias("key")), max_bytes)
-    first = [*added, *[c for c in parsed.columns if c not in added]]
-    if built is None:
-        fitting = keyed.withColumn("_row", F.monotonically_increasing_id())
-        fitting = written(fitting, "keyed")
-        best = fitting.select("_row", F.explode("_keys").alias("key")).join(keys, "key").groupBy("_row").agg(F.max(F.struct(F.length("key"), "key", "action")).alias("b"))
-        return fitting.join(best, "_row", "left").select("*", F.col("b.key").alias("rule"), F.coalesce("b.action", F.lit(default)).alias("verdict")).select(*first)
-    cascade, seed = built
-    blocks = build_cascade(keys.where("action = 'block'").select("key"), keys.select("key"), max_bytes)
-    sent = spark.sparkContext.broadcast((cascade, blocks[0]))
-    keyed = keyed.withColumn("_hashes", F.transform("_keys", lambda k: F.xxhash64(F.lit(seed), k)))
-    keyed = keyed.withColumn("_more", F.transform("_keys", lambda k: F.xxhash64(F.lit(blocks[1]), k)))
+    rows = pages.select(F.struct("*").alias("row"), host.alias("host"), path.alias("path"))
+    rows = rows.withColumn("keys", candidate_keys(F.col("host"), F.col("path"), labels, lengths))
+    # place of the longest rule so far among the keys, which are in order of length
+    rows = rows.withColumns({"at": F.lit(1 << 30), "rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
+    listed = spark.createDataFrame([(k, a) for k, a in given.items()], "key string, action string")
+    parts, p, state = 1, 0, rows
+    while p < parts:
+        most = max_bytes if parts < len(given) else math.inf
+        mine = listed.where(_part(F.col("key"), parts) == p)
+        found = build_cascade(mine.select("key"), rows.select(F.explode("keys").alias("key")).where(_part(F.col("key"), parts) == p), most)
+        blocks = found and build_cascade(mine.where("action = 'block'").select("key"), mine.select("key"), most)
+        if not blocks:  # too large: smaller parts, from the beginning
+            parts, p, state = parts * 2, 0, rows
+            continue
+        state = _judged(state, found, blocks, p, parts)
+        if parts > 1:
+            state = written(state, f"part{p}")
+        p += 1
+    added, own = ["host", "path", "rule", "verdict"], []
+    for c in pages.columns:
+        name = c
+        while name in added or name != c and name in pages.columns or name in own:
+            name = f"in_{name}"
+        own.append(name)
+    return state.select(*added, *[F.col("row")[c].alias(name) for c, name in zip(pages.columns, own)])
+
+
+def _part(key: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit("part"), key), F.lit(parts))
+
+
+def _judged(rows: DataFrame, found: tuple[Cascade, int], blocks: tuple[Cascade, int], part: int, parts: int) -> DataFrame:
+    """rows with at, rule and verdict of those keys of the part that are rules and longer than the row's rule so far."""
+    sent = rows.sparkSession.sparkContext.broadcast((found[0], blocks[0]))
+    of = lambda f: F.transform("keys", f)
+    keyed = rows.withColumns({"hashes": of(lambda k: F.xxhash64(F.lit(found[1]), k)), "more": of(lambda k: F.xxhash64(F.lit(blocks[1]), k)), "mine": of(lambda k: _part(k, parts) == part)})
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         which, blocked = sent.value
         for b in batches:
-            lists = {c: b.column(b.schema.get_field_index(c)) for c in ("_keys", "_hashes", "_more")}
-            sizes = np.diff(lists["_keys"].offsets.to_numpy())
-            held = which.holds(lists["_hashes"].flatten().to_numpy(zero_copy_only=False))
-            row = np.repeat(np.arange(b.num_rows), sizes)[held]
-            row, place = np.unique(row, return_index=True)  # the first held key of a row is the longest
-            hit = np.flatnonzero(held)[place]
-            at = np.full(b.num_rows, -1)
-            at[row] = hit
-            take = pa.array(np.where(at < 0, 0, at), mask=at < 0)
-            rule = lists["_keys"].flatten().take(take)
-            verdict = np.full(b.num_rows, default, object)
-            verdict[row] = np.where(blocked.holds(lists["_more"].flatten().to_numpy(zero_copy_only=False)[hit]), "block", "allow")
-            have = {"rule": rule, "verdict": pa.array(verdict, pa.string())}
-            yield pa.RecordBatch.from_arrays([have[c] if c in have else b.column(b.schema.get_field_index(c)) for c in names], names)
-
-    kinds = {f.name: f.dataType.simpleString() for f in parsed.schema.fields} | {"rule": "string", "verdict": "string"}
-    names = first
-    return keyed.mapInArrow(judge, ", ".join(f"`{c}` {kinds[c]}" for c in first))
+            cols = {c: b.column(b.schema.get_field_index(c)) for c in b.schema.names}
+            flat = {c: cols[c].flatten().to_numpy(zero_copy_only=False) for c in ("hashes", "more", "mine")}
+            sizes = np.diff(cols["keys"].offsets.to_numpy())
+            starts = np.cumsum(sizes) - sizes
+            held = np.flatnonzero(which.holds(flat["hashes"]) & flat["mine"].astype(bool))
+            row, first = np.unique(np.repeat(np.arange(b.num_rows), sizes)[held], return_index=True)  # the first held key of a row is the longest
+            hit = held[first]
+            at = cols["at"].to_numpy().copy()
+            nearer = hit - starts[row] < at[row]
+            row, hit = row[nearer], hit[nearer]
+            at[row] = hit - starts[row]
+            rule, verdict = (np.array(cols[c].to_pylist(), object) for c in ("rule", "verdict"))
+            rule[row] = cols["keys"].flatten().take(pa.array(hit)).to_pylist()
+            verdict[row] = np.where(blocked.holds(flat["more"][hit]), "block", "allow")
+            new = {"at": pa.array(at, pa.int32()), "rule": pa.array(rule, pa.string()), "verdict": pa.array(verdict, pa.string())}
+            yield pa.RecordBatch.from_arrays([new.get(c, cols[c]) for c in names], names)
+
+    names = rows.columns
+    return keyed.mapInArrow(judge, rows.schema)
 
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -560,7 +560,7 @@ def test_url_rules(spark):
     urls = ["http://A.Example.COM/en/x?y", "https://www.example.com/en/", "http://example.com/EN/", "ftp://x.net/es/1#t", "http://net/fr/", "http://xnet/fr/", "http://q.com", "http://q.com?a/b", "no scheme", "", None, "http://a.org/en/", "http://com/", "://example.com/en/", "http://www.example.com/en", "http://b.www.example.com/en/z"]
     p = spark.createDataFrame([(k, u, "h") for k, u in enumerate(urls)], "page_id long, url string, host string").repartition(3)
     rules = {h + path: (a, h, path) for a, h, path in url_filter.RULES}
-    for limit in (url_filter.MAX_BYTES, 0):  # a cascade, and the join beyond its size
+    for limit in (url_filter.MAX_BYTES, 0):  # a cascade, and parts of one rule
         got = {r.page_id: r for r in url_filter.url_verdicts(p, max_bytes=limit).collect()}
         for k, u in enumerate(urls):
             rest = (u or "").split("://", 1)[1] if "://" in (u or "") else ""
@@ -573,6 +573,10 @@ def test_url_rules(spark):
         assert got[0].in_host == "h"
     assert url_filter.url_verdicts(p.limit(0)).count() == 0
     assert {r.verdict for r in url_filter.url_verdicts(p, rules=[]).collect()} == {"allow"}
+    clash = p.withColumns({c: F.lit(c) for c in ("in_host", "rule", "keys", "hashes")})
+    got = url_filter.url_verdicts(clash.unionAll(clash))
+    assert got.columns == ["host", "path", "rule", "verdict", "page_id", "url", "in_in_host", "in_host", "in_rule", "keys", "hashes"]
+    assert {(r.in_host, r.in_in_host, r["keys"]) for r in got.collect()} == {("in_host", "h", "keys")} and got.count() == 2 * len(urls)
 
 
 def test_cascade_is_exact(spark):
