@@ -1,9 +1,10 @@
 """Nearest neighbours by cosine with a vantage-point tree per shard.
 
 Vectors are dealt to shards of a stated size. A shard is one row of a written table and holds its different vectors,
-scaled to length one, in a tree of balls around vantage points. Queries go in blocks to every shard and walk down
-together; a branch is left out where the triangle inequality shows that it holds nothing nearer. `factor` relaxes
-that: above one, branches are left out sooner, and near misses are possible; one gives an exact search.
+scaled to length one, in a tree of balls around vantage points. Trees stay where they are: queries are sent to all tasks
+in chunks of bounded size, and walk down each tree together; a branch is left out where the triangle inequality shows
+that it holds nothing nearer than what the task has found so far. `factor` relaxes that: above one, branches are left
+out sooner, and near misses are possible; one gives an exact search.
 """
 
 from __future__ import annotations
@@ -18,6 +19,10 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 LEAF = 64
+#: Queries that walk down a tree together.
+BLOCK_ROWS = 512
+#: Bytes of queries that are sent to the tasks at once.
+CHUNK_BYTES = 32 << 20
 #: Cosines from matrix products differ from the exact measure by less; branches and vectors within it are looked at exactly.
 SLACK = 1e-9
 
@@ -73,14 +78,14 @@ class Tree:
         self.nodes[at] = (v, *spans, self._build(rows[inner], rng, leaf), self._build(rows[outer], rng, leaf))
         return at
 
-    def search(self, queries: np.ndarray, query_ids: np.ndarray, k: int, factor: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row of queries, id, cosine) of the k nearest to each query found here, its own id excepted; ties go to smaller ids."""
+    def search(self, queries: np.ndarray, query_ids: np.ndarray, k: int, factor: float = 1.0, so_far: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row of queries, id, cosine) of the k nearest to each query found here, its own id excepted; ties go to smaller ids. `so_far` has cosines and ids (queries x k) that other trees gave; it is updated."""
         self.q, self.qid, self.k, self.factor = queries, query_ids, k, factor
         big = np.abs(queries).max(1, keepdims=True)
         self.qu = queries / np.linalg.norm(queries / big, axis=1, keepdims=True) / big
         n = len(queries)
-        self.best, self.best_id = np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
-        self.worst = np.full(n, -np.inf)  # the k-th best cosine so far
+        self.best, self.best_id = so_far or none_yet(n, k)
+        self.worst = self.best[:, -1].copy()  # the k-th best cosine so far
         self.seen = 0
         self.home = np.full(n, -1)  # the leaf that a query falls into; it is searched first, so that pruning begins with near vectors
         if len(self.vectors) and n:
@@ -165,6 +170,10 @@ class Tree:
         return out
 
 
+def none_yet(n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
+
+
 def chord(cos: np.ndarray) -> np.ndarray:
     """Distance of unit vectors with this cosine; a true metric."""
     return np.sqrt(np.maximum(0.0, 2 - 2 * np.maximum(cos, -1.0)))
@@ -187,41 +196,55 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embe
     return written(dealt.groupBy("_shard", "_dim").applyInArrow(run, "shard long, dim int, n long, tree binary"), "trees")
 
 
-def search(index: DataFrame, queries: DataFrame, k: int = 5, factor: float = 1.0, id_col: str = "vec_id", vec_col: str = "embedding", block_rows: int = 512) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, k: int = 5, factor: float = 1.0, id_col: str = "vec_id", vec_col: str = "embedding", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """`query_id`, `rank` (from 1), `vec_id`, `score`: the k nearest of the index for each query, its own id excepted.
 
     Nearest is the largest cosine in double precision; ties go to the smaller id. Only vectors of a query's length are
     compared. Queries that can't be used (see usable()) get no rows; those with fewer than k candidates get all.
-    A query with the id of another but a different vector is a query by itself. Each task has one block of queries
-    and one shard. An empty table on either side gives an empty result.
+    A query with the id of another but a different vector is a query by itself. The queries go to the tasks in chunks of
+    about chunk_bytes; each chunk reads the trees once. Tasks give k rows a query, whatever the number of their trees.
+    An empty table on either side gives an empty result. Other columns are not read, whatever their names.
     """
     asked = written(usable(queries, id_col, vec_col), "queries")
-    n = asked.count()
-    blocks = max(1, -(-n // block_rows))
-    asked = asked.withColumn("_block", F.pmod(F.xxhash64("_id", "_vec"), F.lit(blocks)))
+    total = asked.agg(F.sum(F.col("_dim").cast("long") * 8 + 16)).first()[0] or 0
+    chunks = max(1, -(-total // chunk_bytes))
+    found = None
+    for c in range(chunks):
+        mine = asked.where(F.pmod(F.xxhash64("_id", "_vec"), F.lit(chunks)) == c).orderBy("_dim", "_id", "_vec").toArrow()  # about chunk_bytes
+        part = _found(index, mine, k, factor, c)
+        part = written(part, f"found{c}") if chunks > 1 else part
+        found = part if found is None else found.unionByName(part)
+    order = Window.partitionBy("q", "query_id").orderBy(F.col("score").desc(), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
-    def pack(key, group):
-        vec = group["_vec"].combine_chunks().flatten().to_numpy()
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "dim": pa.array([key[1].as_py()], pa.int32()), "q_ids": pa.array([group["_id"].to_numpy().astype("<i8").tobytes()], pa.binary()), "q_vecs": pa.array([vec.astype("<f8").tobytes()], pa.binary())})
 
-    packed = written(asked.groupBy("_block", "_dim").applyInArrow(pack, "block long, dim int, q_ids binary, q_vecs binary"), "blocks")
-    # a stated set of queries against all shards: the pairs are of blocks and shards
-    places = index.select("shard", "dim").withColumnRenamed("dim", "_d")
-    pairs = packed.join(places, F.col("dim") == F.col("_d")).drop("_d")
-    work = pairs.join(index.select("shard", "dim", "tree"), ["shard", "dim"]).repartition(F.col("shard"), F.col("block"))
+def _found(index: DataFrame, asked: pa.Table, k: int, factor: float, chunk: int) -> DataFrame:
+    """`q` (number of the query), `query_id`, `vec_id`, `score`: for each task the k nearest of its trees."""
+    dims, ids = asked["_dim"].to_numpy(), asked["_id"].to_numpy().astype(np.int64)
+    flat = asked["_vec"].combine_chunks().flatten().to_numpy() if asked.num_rows else np.zeros(0)
+    sent = index.sparkSession.sparkContext.broadcast((dims, ids, flat))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dims, ids, flat = sent.value
+        starts = np.cumsum(dims.astype(np.int64)) - dims
+        best: dict[int, tuple] = {}
         for b in batches:
-            for r in b.to_pylist():
-                ids = np.frombuffer(r["q_ids"], "<i8")
-                vecs = np.frombuffer(r["q_vecs"], "<f8").reshape(len(ids), -1)
-                rows, found, score = Tree.load(r["tree"]).search(vecs, ids, k, factor)
-                query = [r["block"] << 24 | x for x in rows.tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(ids[rows]), pa.array(found.astype(np.int64)), pa.array(score, pa.float64()), pa.array([r["dim"]] * len(rows), pa.int32())], ["q", "query_id", "vec_id", "score", "dim"])
-
-    found = work.select("shard", "block", "q_ids", "q_vecs", "tree", "dim").mapInArrow(run, "q long, query_id long, vec_id long, score double, dim int")
-    order = Window.partitionBy("q", "dim", "query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            for r in range(b.num_rows):
+                dim = b.column(0)[r].as_py()
+                rows = np.flatnonzero(dims == dim)  # in one run, as they are sorted
+                if len(rows):
+                    vecs = flat[starts[rows[0]] : starts[rows[0]] + len(rows) * dim].reshape(len(rows), dim)
+                    so_far = best.setdefault(dim, none_yet(len(rows), k))
+                    tree = Tree.load(b.column(1)[r].as_buffer())
+                    for i in range(0, len(rows), BLOCK_ROWS):
+                        part = slice(i, i + BLOCK_ROWS)
+                        tree.search(vecs[part], ids[rows[part]], k, factor, (so_far[0][part], so_far[1][part]))
+        for dim, (score, near) in best.items():
+            rows = np.flatnonzero(dims == dim)
+            q, at = np.nonzero(score > -np.inf)
+            yield pa.RecordBatch.from_arrays([pa.array(chunk << 32 | rows[q]), pa.array(ids[rows[q]]), pa.array(near[q, at]), pa.array(score[q, at])], ["q", "query_id", "vec_id", "score"])
+
+    return index.select("dim", "tree").mapInArrow(run, "q long, query_id long, vec_id long, score double")
 
 
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

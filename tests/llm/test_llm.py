@@ -544,7 +544,7 @@ def test_nearest_frames(spark):
     data = [(k, [float(v) for v in r.normal(size=6)], "c") for k in range(150)]
     data += [(150, None, "c"), (151, [0.0] * 6, "c"), (152, [1.0, None] + [1.0] * 4, "c"), (153, [float("nan")] * 6, "c"), (154, [1.0, 2.0], "c"), (155, [], "c"), (0, data[0][1], "c"), (None, [1.0] * 6, "c")]
     v = spark.createDataFrame(data, "vec_id long, embedding array<double>, rank string")
-    got = vp_search.search(vp_search.build_index(v, shard_rows=40), v.where("vec_id % 50 = 0"), block_rows=2).orderBy("query_id", "rank").collect()
+    got = vp_search.search(vp_search.build_index(v, shard_rows=40), v.where("vec_id % 50 = 0"), chunk_bytes=200).orderBy("query_id", "rank").collect()
     x, ids = np.array([d[1] for d in data[:150]]), np.arange(150)
     want = []
     for q in (0, 50, 100):
@@ -552,6 +552,7 @@ def test_nearest_frames(spark):
         s[q] = -9
         want += [(q, k + 1, int(i), s[i]) for k, i in enumerate(np.lexsort((ids, -s))[:5])]
     assert [tuple(r) for r in got] == want
+    assert rows(vp_search.search(vp_search.build_index(v, shard_rows=40), v.where("vec_id % 50 = 0"))) == sorted(want, key=str)
     assert vp_search.search(vp_search.build_index(v.limit(0)), v).count() == 0
 
 
