@@ -1,11 +1,11 @@
 """WARC archives of pages, and a two-level index of their captures.
 
 Archives are plain WARC 1.1 files. Spark's text sink writes the records, each being one row whose separator is the
-blank lines that end a WARC record, so that files are committed by Spark on any file system. Reading takes whole
-archive files, whose size the writer bounds, and walks from record to record by Content-Length.
+blank lines that end a WARC record, so that files are committed by Spark on any file system. Reading streams a file and
+walks from record to record by Content-Length; a task holds one record and READ_BYTES, however large the file is.
 
-The index has the captures sorted by reversed-host URL key, cut into compressed blocks, and a sparse directory with
-the first key of each block. A look-up searches the directory for the block, the block for the key, and reads the
+The index has the captures sorted by reversed-host URL key, cut into compressed blocks, and, in files of its own, a
+sparse directory with the first and last key of each block. A look-up searches the directory for the block, the block for the key, and reads the
 record's bytes only. locate() and read_ranges() do this in bulk, in the cluster; CaptureIndex does it for single urls.
 """
 
@@ -26,11 +26,11 @@ from .common import BROADCAST_ROWS, scratch, small, table, written
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Bytes that an archive is to have, about; one file is read at once.
+#: Bytes that an archive is to have on the average, and bytes of records that a task range-reads.
 FILE_BYTES = 16 << 20
 #: Captures in a block of the index.
 BLOCK_LINES = 512
-#: Neighbouring records are read at once, up to about so many bytes.
+#: Bytes read at once; neighbouring records are read together up to this.
 READ_BYTES = 1 << 20
 END = "\r\n\r\n"
 RECORD = "page_id long, url string, kind string, payload_digest string, payload_bytes long, refers_to long, payload binary, file string, offset long, length long"
@@ -46,12 +46,13 @@ def planned(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
     """`page_id`, `url`, `payload` (string, null as empty), `payload_bytes`, `payload_digest`, `refers_to`: null for a response, else the id of the record with the same payload.
 
     Of records with equal payloads of at least `least` bytes that with the smallest id is the response; rows that
-    repeat this id are responses, too. A null id sorts before all others.
+    repeat this id are responses, too. A null id sorts before all others. Other columns are not read, whatever their
+    names; an empty table gives an empty result.
     """
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
-    # length and two digests stand for the content; the groups' texts need not travel
+    # SHA-1, SHA-256 and length stand for the content; the groups' texts need not travel
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
-    rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "_sha1": F.sha1(F.encode("payload", "UTF-8")), "_more": F.xxhash64("payload")})
+    rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "_sha1": F.sha1(F.encode("payload", "UTF-8")), "_more": F.sha2("payload", 256)})
     key = ["_sha1", "_more", "payload_bytes"]
     groups = rows.where(F.col("payload_bytes") >= least).groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.count("page_id").alias("_ids"), F.min("page_id").alias("_first"))
     groups = groups.where("_n > 1").withColumn("_first", F.when(F.col("_ids") == F.col("_n"), F.col("_first")))
@@ -149,13 +150,41 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for file, data in zip(b.column(0).to_pylist(), b.column(1)):
-                yield from _checked(parse(data.as_buffer().to_pybytes(), file), names)
+            for file in b.column(0).to_pylist():
+                yield from _checked(_streamed(file), names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path")
     return files.mapInArrow(run, _schema(payloads))
 
 
+def _streamed(file: str) -> Iterator[tuple]:
+    """parse() over a whole file, of which no more is held than a record and READ_BYTES."""
+    with _opened(file) as stream:
+        held, start, need = b"", 0, 1
+        while True:
+            more = stream.read(max(READ_BYTES, need - len(held)))
+            held += more
+            end, need = _whole(held)
+            yield from parse(held[:end], file, start)
+            held, start = held[end:], start + end
+            if not more:
+                if held:
+                    raise ValueError(f"no whole record at byte {start} of {file}")
+                return
+
+
+def _whole(data: bytes) -> tuple[int, int]:
+    """Where the whole records of data end, and the bytes that the next one needs from there, as far as they are known."""
+    at = 0
+    while (top := data.find(b"\r\n\r\n", at)) >= 0:
+        field = data.index(b"Content-Length: ", data.rindex(b"Content-Type: ", at, top), top + 4) + 16
+        end = top + 4 + int(data[field : data.find(b"\r\n", field)]) + 4
+        if end > len(data):
+            return at, end - at
+        at = end
+    return at, 1
+
+
 def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, KINDS[n]) for n, c in zip(names, zip(*rows))], names)
 
@@ -185,7 +214,7 @@ def key_of(url: str | None) -> str:
 
 
 def build_index(captures: DataFrame, out: str, block_lines: int = BLOCK_LINES) -> None:
-    """Write the index of read_archives() rows: blocks/ (part, block, first key, last key, compressed lines), the directory being its columns without the lines. Equal keys may reach over several blocks, and parts. Give it a written table, or its rows are computed twice, as the sort samples them first."""
+    """Write the index of read_archives() rows: blocks/ (part, block, first key, last key, compressed lines) and directory/ (the same without the lines). Equal keys may reach over several blocks, and parts. Give it a written table, or its rows are computed twice, as the sort samples them first."""
     rows = captures.select(url_key(F.col("url")).alias("key"), "page_id", "kind", "file", "offset", "length")
     ordered = rows.repartitionByRange(F.col("key"), F.col("page_id")).sortWithinPartitions("key", "page_id")
 
@@ -208,6 +237,7 @@ def build_index(captures: DataFrame, out: str, block_lines: int = BLOCK_LINES) -
             yield close()
 
     ordered.mapInArrow(run, "part int, block int, first string, last string, lines binary").write.option("parquet.block.size", 1 << 20).parquet(f"{out}/blocks")
+    captures.sparkSession.read.parquet(f"{out}/blocks").select("first", "last", "part", "block").write.parquet(f"{out}/directory")
 
 
 def _blocks_of(directory: list[tuple], firsts: list[str], key: str) -> list[tuple[int, int]]:
@@ -215,6 +245,12 @@ def _blocks_of(directory: list[tuple], firsts: list[str], key: str) -> list[tupl
     return [(p, b) for _, last, p, b in directory[max(0, bisect_left(firsts, key) - 1) : bisect_right(firsts, key)] if last >= key]
 
 
+def _hits(directory: list[tuple], firsts: list[str], keys: list[str]) -> pa.RecordBatch:
+    """(part, block, key) for all blocks that may hold a key."""
+    hits = [(p, n, k) for k in keys for p, n in _blocks_of(directory, firsts, k)]
+    return pa.RecordBatch.from_arrays([pa.array([h[c] for h in hits], t) for c, t in enumerate((pa.int32(), pa.int32(), pa.string()))], ["part", "block", "key"])
+
+
 def _lines_of(data: bytes, keys: list[str]) -> Iterator[list[str]]:
     """The lines of one block that have one of the keys."""
     lines = [x.split("\t") for x in zlib.decompress(data).decode().split("\n")]
@@ -226,25 +262,28 @@ def _lines_of(data: bytes, keys: list[str]) -> Iterator[list[str]]:
 def locate(spark: SparkSession, out: str, urls: DataFrame, max_entries: int = BROADCAST_ROWS) -> DataFrame:
     """`file`, `offset`, `length` of all captures of the urls (the only column), each once, by look-ups in the index under out.
 
-    The directory goes to the executors, who search it for the blocks; each block asked for is opened once. Beyond
-    max_entries the directory is joined by its ranges of keys instead, which is slow.
+    The directory goes to the executors, who search it for the blocks; each block asked for is opened once. Of a
+    directory of more than max_entries only a row for each part goes to them; keys then meet their part's entries.
     """
-    blocks = spark.read.parquet(f"{out}/blocks")
+    blocks, entries = spark.read.parquet(f"{out}/blocks"), spark.read.parquet(f"{out}/directory")
     keys = urls.select(url_key(F.col(urls.columns[0])).alias("key")).distinct()
-    entries = blocks.select("first", "last", "part", "block")
-    if entries.limit(max_entries + 1).count() > max_entries:
-        wanted = keys.join(entries, (F.col("first") <= F.col("key")) & (F.col("last") >= F.col("key"))).select("part", "block", "key")
-    else:
-        sent = spark.sparkContext.broadcast(sorted(tuple(r) for r in entries.toLocalIterator()))
-
-        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            firsts = [d[0] for d in sent.value]
-            for b in batches:
-                hits = [(p, n, k) for k in b.column(0).to_pylist() for p, n in _blocks_of(sent.value, firsts, k)]
-                if hits:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*hits), (pa.int32(), pa.int32(), pa.string()))], ["part", "block", "key"])
+    large = entries.limit(max_entries + 1).count() > max_entries
+    top = entries.groupBy("part").agg(F.min("first").alias("first"), F.max("last").alias("last")).select("first", "last", "part", F.lit(-1).alias("block")) if large else entries
+    sent = spark.sparkContext.broadcast(sorted(tuple(r) for r in top.toLocalIterator()))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        firsts = [d[0] for d in sent.value]
+        for b in batches:
+            yield _hits(sent.value, firsts, b.column(0).to_pylist())
+
+    def in_part(one: pa.Table, entries_: pa.Table) -> pa.Table:
+        directory = sorted(zip(*[entries_[c].to_pylist() for c in ("first", "last", "part", "block")]))
+        return pa.Table.from_batches([_hits(directory, [d[0] for d in directory], one["key"].to_pylist())])
 
-        wanted = keys.mapInArrow(search, "part int, block int, key string")
+    kind = "part int, block int, key string"
+    wanted = keys.mapInArrow(search, kind)
+    if large:
+        wanted = wanted.select("part", "key").groupBy("part").cogroup(entries.groupBy("part")).applyInArrow(in_part, kind)
     asked = wanted.groupBy("part", "block").agg(F.collect_list("key").alias("keys"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,7 +353,7 @@ class CaptureIndex:
     def __init__(self, spark: SparkSession, out: str, max_entries: int = 1_000_000):
         self.spark = spark
         self.blocks = spark.read.parquet(f"{out}/blocks")
-        entries = self.blocks.select("part", "block", "first", "last")
+        entries = spark.read.parquet(f"{out}/directory").select("part", "block", "first", "last")
         self.directory = None
         if entries.limit(max_entries + 1).count() <= max_entries:
             self.directory = sorted((r.first_, r.last_, r.part, r.block) for r in entries.toDF("part", "block", "first_", "last_").toLocalIterator())

@@ -486,6 +486,11 @@ def test_warc(spark):
     assert warc.read_archives(spark, none).count() == 0
     least = {r.page_id: r.refers_to for r in warc.planned(p, least=100).collect()}
     assert set(least.values()) == {None}
+    heavy = spark.createDataFrame([(k, "u", "é" * (3_000_000 if k == 5 else 10 * k)) for k in range(60)] + [(None, "u", "é" * 30)], "page_id long, url string, html string").coalesce(1)
+    out = scratch(spark, "test-heavy")
+    warc.write_archives(warc.planned(heavy), out)
+    got = {r.page_id: (r.payload_bytes, r.kind, r.refers_to) for r in warc.read_archives(spark, out).collect()}
+    assert got == {k: (6_000_000 if k == 5 else 20 * k, "response", None) for k in range(60)} | {None: (60, "response", None), 3: (60, "revisit", None)}
 
 
 ODD = ["http://a.com/|", "http://a.com/z", "http://a.com/\u00e9", "http://a.com/{", "http://a.com/~", "http://A.com/a b", "http://a.com/\x01", "http://a.com/q#\u2028f", "http://a.com/q", "http://\u00c9.com/\U0001f600", "\uff0fno host", "", None, "http://a.com/\uffee", "http://a.com/^", "http://a.com./%7c"]
