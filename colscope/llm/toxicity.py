@@ -25,8 +25,8 @@ PREFIXES = (3, 4, 5, 6, 7, 8)
 #: A feature is a bucket with a level: how often, or how densely, a text has it at least.
 OFTEN, DENSE = (1, 2, 4, 8), (1 / 200, 1 / 50, 1 / 20)
 LEVELS = 8
-#: Features that the models use, at most, and the least chi-square that one must have with a category: chance alone hardly gives it to any of a million.
-FEATURES, LEAST_CHI_SQUARE = 4096, 30.0
+#: Features that the models use, at most.
+FEATURES = 4096
 #: Labelled documents that the models are fitted on, at most: those with the smallest hashes of their ids.
 MAX_TRAIN = 20_000
 #: Rows whose features are made floats at once.
@@ -36,6 +36,11 @@ FOLDS = 5
 CATEGORIES = (("low_quality", "1 - quality"), ("toxic", "toxic"))
 
 
+def least_chi_square(n: int) -> float:
+    """The least chi-square that a feature must have with a category, given n labelled documents: at 30 chance alone hardly gives it to any of a million features; of few documents a word has few, so that less is asked."""
+    return 20 + min(10.0, n / 400)
+
+
 def features(texts: list[str], wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Sorted different (text, bucket * LEVELS + level) pairs as two arrays; `wanted` flags the buckets to look at."""
     column = pa.array([t.lower() if t else "" for t in texts], pa.string())
@@ -148,7 +153,7 @@ def fit(x: np.ndarray, more: np.ndarray, y: np.ndarray, known: np.ndarray, steps
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, categories: Sequence[tuple[str, str]], id_col: str, text_col: str, max_train: int) -> DataFrame:
-    """`_id`, `_text` and a label column per category of at most max_train labelled documents. Of an id with several label rows one is taken."""
+    """`_id`, `_text` and a label column per category of at most max_train labelled documents. Of an id with several label rows the largest of each label counts; documents that repeat an id all have its labels."""
     given = labels.select(F.col(id_col).alias("_id"), *[F.expr(e).cast("int").alias(f"_y_{c}") for c, e in categories]).where("_id is not null")
     given = given.groupBy("_id").agg(*[F.max(f"_y_{c}").alias(f"_y_{c}") for c, _ in categories])
     chosen = written(given.orderBy(F.xxhash64("_id"), "_id").limit(max_train), "labelled")
@@ -161,6 +166,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[tuple[str, st
     Features are counted in the cluster and the FEATURES that tell a category's classes apart best are kept; the driver
     then gets these features of the training rows only. A null label leaves the row out of that category's model. A
     category without labels of both classes has a constant probability, near that of its one class, a half without any.
+    Null and empty texts have no features. Labels with a null id, or without a document, are not used. Empty tables
+    give a chain of constants. Other columns are not read, whatever their names.
     """
     names = [c for c, _ in categories]
     rows = training_rows(docs, labels, categories, id_col, text_col, max_train)
@@ -190,7 +197,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[tuple[str, st
         both = totals[f"n0_{c}"] and totals[f"n1_{c}"]
         if both:
             chi = _tells(F.col(f"n1_{c}"), F.col(f"n0_{c}"), totals[f"n1_{c}"], totals[f"n0_{c}"])
-            top = seen.where(chi >= LEAST_CHI_SQUARE).orderBy(chi.desc(), "bucket").limit(FEATURES // len(names))
+            top = seen.where(chi >= least_chi_square(totals[f"n0_{c}"] + totals[f"n1_{c}"])).orderBy(chi.desc(), "bucket").limit(FEATURES // len(names))
             kept += [r.bucket for r in top.collect()]
     kept = sorted(set(kept))
     column = np.full(BUCKETS * LEVELS, -1, np.int16)
@@ -243,7 +250,10 @@ def _tells(one: Column, zero: Column, ones: int, zeros: int) -> Column:
 
 
 def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """`_id`, `p_<category>` for each category, and a boolean named as the last one: its probability is at least the threshold."""
+    """`_id`, `p_<category>` for each category, and a boolean named as the last one: its probability is at least the threshold.
+
+    Null ids and repeated rows stay as they are; a null or empty text gets the probabilities that the constants give.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(chain)
     ids = docs.select(id_col).schema[0].dataType.simpleString()
     cols = [f"p_{c}" for c in chain.names]

@@ -1,6 +1,7 @@
 """Each operator against brute force or an exact round trip, with nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import hashlib
+import math
 import random
 import zlib
 
@@ -446,6 +447,74 @@ def test_toxicity_held_out(spark):
     assert len(same.weights) == 2
 
 
+def plain_fit(x, y, rows, steps=300, l2=1e-4, rate=0.1):
+    """Weighted logistic regression by Adam in plain loops: x has a dict of values for each row, -1 being the constant."""
+    ones = sum(y[i] for i in rows)
+    if ones in (0, len(rows)):
+        return {-1: 0.0 if not rows else -8.0 if not ones else 8.0}
+    weight = {i: math.sqrt((len(rows) - ones) / ones) if y[i] else 1.0 for i in rows}
+    total = sum(weight.values())
+    w, m, v = ({k: 0.0 for i in range(len(x)) for k in x[i]} for _ in range(3))
+    for t in range(1, steps + 1):
+        g = {k: l2 * w[k] * (k != -1) for k in w}
+        for i in rows:
+            e = (plain_p(w, x[i]) - y[i]) * weight[i] / total
+            for k, a in x[i].items():
+                g[k] += a * e
+        for k in w:
+            m[k], v[k] = 0.9 * m[k] + 0.1 * g[k], 0.999 * v[k] + 0.001 * g[k] ** 2
+            w[k] -= rate * m[k] / (1 - 0.9**t) / (math.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
+    return w
+
+
+def plain_p(w, row):
+    return 1 / (1 + math.exp(-sum(w.get(k, 0.0) * a for k, a in row.items())))
+
+
+def test_toxicity_equals_a_plain_chain(spark):
+    """The same features and folds in plain loops: selection by chi-square, out-of-fold probabilities, two models."""
+    r = random.Random(13)
+    plain = [f"word{k}" for k in range(60)]
+    texts, labels = [], []
+    for k in range(160):
+        low, bad = r.random() < 0.4, r.random() < 0.3
+        w = [r.choice(plain) for _ in range(12)] + ["spam"] * (low and r.random() < 0.9) + ["vile"] * (bad and r.random() < 0.9)
+        r.shuffle(w)
+        texts.append(" ".join(w))
+        labels.append((k, None if k % 11 == 0 else int(not low), None if k % 13 == 0 else int(bad or low and r.random() < 0.5)))
+    d = docs_of(spark, texts)
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = toxicity.train(d, table).probabilities(texts)
+    fold = {x.doc_id: x.f for x in d.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(5)).alias("f")).collect()}
+    sets = [set(toxicity.features([t])[1].tolist()) for t in texts]
+    ys = [[None if q is None else 1 - q for _, q, _ in labels], [t for _, _, t in labels]]
+    kept = set()
+    for y in ys:
+        known = [i for i in range(160) if y[i] is not None]
+        ones = sum(y[i] for i in known)
+        zeros, chi = len(known) - ones, {}
+        for f in set().union(*sets):
+            a, b = sum(f in sets[i] for i in known if y[i]), sum(f in sets[i] for i in known if not y[i])
+            c, e = ones - a, zeros - b
+            below = (a + b) * (c + e) * ones * zeros
+            chi[f] = (ones + zeros) * (a * e - b * c) ** 2 / below if below else 0.0
+        kept |= set(sorted((f for f in chi if chi[f] >= toxicity.least_chi_square(len(known))), key=lambda f: (-chi[f], f))[: toxicity.FEATURES // 2])
+    assert len(kept) >= 8
+    log_odds = lambda p: math.log(min(max(p, 1e-4), 1 - 1e-4) / (1 - min(max(p, 1e-4), 1 - 1e-4)))
+    base = [{**{f: 1.0 for f in s & kept}, -1: 1.0} for s in sets]
+    out_of_fold, final = [], []
+    for c, y in enumerate(ys):
+        known = [i for i in range(160) if y[i] is not None]
+        train = [{**row, **{-2 - e: log_odds(p[i]) for e, p in enumerate(out_of_fold)}} for i, row in enumerate(base)]
+        models = [plain_fit(train, y, [i for i in known if fold[i] != f]) for f in range(5)]
+        whole = plain_fit(train, y, known)
+        apply = [{**row, **{-2 - e: log_odds(p[i]) for e, p in enumerate(final)}} for i, row in enumerate(base)]
+        out_of_fold.append([plain_p(models[fold[i]], train[i]) for i in range(160)])
+        final.append([plain_p(whole, apply[i]) for i in range(160)])
+    assert max(abs(got[i, c] - final[c][i]) for i in range(160) for c in (0, 1)) < 0.01
+    assert {x > 0.5 for x in final[1]} == {True, False}
+
+
 def test_toxicity_keeps_rare_words(spark):
     """Sixty words tell toxic texts, each in a dozen of them; a word has nearly thirty features."""
     r = random.Random(9)
