@@ -254,11 +254,11 @@ MIXTURE = ["_size", "source_size", "target", "_shards"]
 
 
 def mixed(docs: DataFrame, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, share: float = 1.5, cap: float = 2.0, seed: int = 7) -> DataFrame:
-    """The mix itself: docs' columns but for those of mixture(), a row for each copy, `_shard` and `_order`, the place in the shard. Nulls, ties and names are as in mixture()."""
-    taken = mixture(docs, shards, id_col, text_col, source_col, weights, share, cap, seed)
-    own = [F.col(c) for c in docs.columns if c not in [*MIXTURE, "_shard", "_order"]]
-    copies = taken.select(F.struct(*own).alias("_row"), F.posexplode("_shards").alias("_c", "_shard")).withColumn("_order", _hash(seed + 1, F.col("_row")[id_col], F.col("_c")))
-    return copies.select("_row.*", "_shard", "_order")
+    """The mix itself: docs' columns, a row for each copy, `_shard` and `_order`, the place in the shard, which replace columns of these names. Nulls and ties are as in mixture()."""
+    rows = docs.select(F.struct("*").alias("row"), *[F.col(c).alias(name) for c, name in ((id_col, "id"), (text_col, "text"), (source_col, "source"))])
+    taken = mixture(rows, shards, "id", "text", "source", weights, share, cap, seed)
+    copies = taken.select("row", "id", F.posexplode("_shards").alias("_c", "_shard")).withColumn("_order", _hash(seed + 1, F.col("id"), F.col("_c")))
+    return copies.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in ("_shard", "_order")], "_shard", "_order")
 
 
 def shuffled(mix: DataFrame, shards: int, parts: int = 4) -> DataFrame:

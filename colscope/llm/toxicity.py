@@ -148,7 +148,7 @@ def fit(x: np.ndarray, more: np.ndarray, y: np.ndarray, known: np.ndarray, steps
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= (rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
     w[:, plain] = 0
-    w[-1, plain] = np.where(n == 0, 0.0, np.where(ones == 0, -8.0, 8.0))[plain]
+    w[-1, plain] = np.where((n > 0) & (ones == n), 8.0, -8.0)[plain]
     return w
 
 
@@ -165,7 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[tuple[str, st
 
     Features are counted in the cluster and the FEATURES that tell a category's classes apart best are kept; the driver
     then gets these features of the training rows only. A null label leaves the row out of that category's model. A
-    category without labels of both classes has a constant probability, near that of its one class, a half without any.
+    category without labels of both classes has a constant probability, near that of its one class, or near zero without any.
     Null and empty texts have no features. Labels with a null id, or without a document, are not used. Empty tables
     give a chain of constants. Other columns are not read, whatever their names.
     """

@@ -451,7 +451,7 @@ def plain_fit(x, y, rows, steps=300, l2=1e-4, rate=0.1):
     """Weighted logistic regression by Adam in plain loops: x has a dict of values for each row, -1 being the constant."""
     ones = sum(y[i] for i in rows)
     if ones in (0, len(rows)):
-        return {-1: 0.0 if not rows else -8.0 if not ones else 8.0}
+        return {-1: 8.0 if ones else -8.0}
     weight = {i: math.sqrt((len(rows) - ones) / ones) if y[i] else 1.0 for i in rows}
     total = sum(weight.values())
     w, m, v = ({k: 0.0 for i in range(len(x)) for k in x[i]} for _ in range(3))

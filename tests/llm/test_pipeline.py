@@ -4,6 +4,8 @@ import random
 
 import corpus_pipeline
 from colscope.llm import mixing, registry
+from colscope.llm.common import written
+from pyspark.sql import functions as F
 
 
 def test_stages(spark, tmp_path):
@@ -36,12 +38,39 @@ def test_stages(spark, tmp_path):
     assert last.count() == len(kept[3]) and last.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
 
 
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls in any column, empty and long texts, repeated rows, columns named as the operators' own; then no row at all."""
+    long_ = " ".join(f"w{k % 3001}" for k in range(40_000))
+    odd = [(0, "one two three four five six", "s"), (1, None, "s"), (2, "", None), (None, "no id at all here", "s"), (3, long_, "t"), (4, long_ + " end", "t"), (5, "kept as it is", None), (5, "kept as it is", None), (6, " \n ", "t")]
+    d = spark.createDataFrame([(i, t, None, s, None) for i, t, s in odd], "doc_id long, text string, lang string, source string, n_chars long")
+    extra = ["_id", "_h", "_size", "_shard", "_order", "_row", "kept", "target", "_digest", "toxic"]
+    d = d.withColumns({c: F.lit(c) for c in extra})
+    spark.createDataFrame([(0, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = {}
+    for part in (d, d.limit(0)):
+        left = part
+        for name, stage in corpus_pipeline.STAGES[1:4]:
+            left = written(stage(spark, left, str(tmp_path)), "odd")
+            assert left.columns == d.columns
+            kept[name] = sorted((x.doc_id for x in left.collect()), key=str)
+        got = left.select(*extra).distinct().collect()
+        assert got == [] if part is not d else [tuple(x) for x in got] == [tuple(extra)]
+        tokens = corpus_pipeline.to_tokens(spark, left, str(tmp_path))
+        assert tokens.count() == left.count()
+        if part is d:
+            assert kept["exact dedup"] == [0, 2, 3, 4, 5, 6, None] and kept["near dedup"] == [0, 2, 3, 5, 6, None]
+            assert set(kept["mixing"]) <= set(kept["near dedup"]) and 3 in kept["mixing"]
+    for part, n in ((d, len(odd)), (d.limit(0), 0)):  # without labels nothing is rejected
+        left = corpus_pipeline.drop_toxic(spark, part, str(tmp_path))
+        assert left.columns == d.columns and left.count() == n
+
+
 def test_mix_is_shuffled(spark, tmp_path):
     """Each task has a run of one shard's random order, and copies are not side by side."""
     texts = [" ".join(["w"] * (5 + k % 30)) for k in range(400)]
     d = spark.createDataFrame([(k, t, "en", f"s{k % 3}", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     got = [x.doc_id for x in corpus_pipeline.mix_sources(spark, d, "").collect()]
-    mix = mixing.mixed(d).select("doc_id", "_shard", "_order").collect()
+    mix = mixing.mixed(d, corpus_pipeline.SHARDS).select("doc_id", "_shard", "_order").collect()
     parts = sorted((x._shard, x._order, x.doc_id) for x in mix)
     assert sorted(got) == sorted(x[2] for x in parts)
     beside = sum(a == b for a, b in zip(got, got[1:]))
