@@ -60,7 +60,7 @@ def _base(c: str = "file") -> F.Column:
 
 
 # A: scans and aggregates in SQL
-_sql("sql_select_filter_order", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey < 100 AND o_totalprice BETWEEN 1000 AND 400000 ORDER BY o_orderkey")
+_sql("sql_select_filter_order", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice BETWEEN 1000 AND 400000 ORDER BY o_orderkey")
 _sql("sql_group_avg_topk", "SELECT o_orderpriority, CAST(ROUND(AVG(CAST(o_totalprice AS DECIMAL(18,2))), 2) AS DOUBLE) AS avg_price, COUNT(*) AS n FROM orders GROUP BY o_orderpriority ORDER BY avg_price DESC, o_orderpriority LIMIT 5",
      "SELECT o_orderpriority, CAST(ROUND(SUM(CAST(o_totalprice AS DECIMAL(18,2))) / COUNT(*), 2) AS DOUBLE) AS avg_price, COUNT(*) AS n FROM orders GROUP BY o_orderpriority ORDER BY avg_price DESC, o_orderpriority LIMIT 5")
 _PRICING = """SELECT l_returnflag, l_linestatus, CAST(SUM(l_quantity) AS BIGINT) AS sum_qty, CAST(SUM(CAST(ROUND(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS sum_cents,
@@ -85,12 +85,13 @@ del ORACLES["sql_approx_distinct"]
 _sql("sql_join_inner", "SELECT r_name, n_name, COUNT(*) AS n, CAST(SUM(CAST(ROUND(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name, n_name")
 _sql("sql_join_left", "SELECT c_custkey, COUNT(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderstatus = 'P' GROUP BY c_custkey")
 _sql("sql_join_right", "SELECT n_nationkey, COUNT(s_suppkey) AS n FROM supplier RIGHT JOIN nation ON s_nationkey = n_nationkey AND s_acctbal > 5000 GROUP BY n_nationkey")
-_sql("sql_join_full", "SELECT c.k AS ck, s.k AS sk, c.n AS cn, s.n AS sn FROM (SELECT c_nationkey AS k, COUNT(*) AS n FROM customer WHERE c_custkey % 50 = 0 GROUP BY 1) c FULL JOIN (SELECT s_nationkey AS k, COUNT(*) AS n FROM supplier WHERE s_suppkey % 5 = 0 GROUP BY 1) s ON c.k = s.k")
+_sql("sql_join_full", "SELECT c.k AS ck, s.k AS sk, c.n AS cn, s.n AS sn FROM (SELECT c_nationkey AS k, COUNT(*) AS n FROM customer WHERE c_acctbal > 9000 GROUP BY 1) c FULL JOIN (SELECT s_nationkey AS k, COUNT(*) AS n FROM supplier WHERE s_acctbal < 2000 GROUP BY 1) s ON c.k = s.k")
 _sql("sql_join_cross", "SELECT r_name, p.k AS k FROM region CROSS JOIN (SELECT DISTINCT o_orderpriority AS k FROM orders) p")
 _sql("sql_join_using", "SELECT doc_id, toxic, lang FROM documents JOIN labels USING (doc_id) WHERE quality = 1")
 _sql("sql_join_semi", "SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 450000)")
 _sql("sql_join_anti", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) OR NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
-_sql("sql_join_theta", "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_name < b.n_name")
+_sql("sql_join_theta", "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_name < b.n_name AND a.n_regionkey <> b.n_regionkey")
+_sql("sql_join_natural", "SELECT doc_id, lang, toxic FROM documents NATURAL JOIN labels")
 _sql("sql_correlated", "SELECT o_orderkey, o_totalprice FROM orders o WHERE o_totalprice = (SELECT MAX(i.o_totalprice) FROM orders i WHERE i.o_custkey = o.o_custkey)")
 _sql("sql_lateral", "SELECT n_nationkey, x.n AS n FROM nation, LATERAL (SELECT COUNT(*) AS n FROM supplier WHERE s_nationkey = n_nationkey) x")
 _sql("sql_union", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
@@ -119,6 +120,8 @@ _sql("sql_regex_fns", r"SELECT p_partkey, regexp_like(p_name, '[aeiou]{2}') AS l
 _sql("sql_string_fns", "SELECT p_partkey, upper(p_name) AS u, substr(p_name, 2, 3) AS s, lpad(CAST(p_size AS STRING), 5, '0') AS p, replace(p_brand, 'Brand', 'B') AS r, concat(p_brand, '-', p_type) AS c, starts_with(p_type, 'S') AS w, split_part(p_type, ' ', 1) AS f, CAST(length(p_name) AS BIGINT) AS n, reverse(p_brand) AS b FROM part".replace("starts_with", "startswith"),
      "SELECT p_partkey, upper(p_name) AS u, substr(p_name, 2, 3) AS s, lpad(CAST(p_size AS VARCHAR), 5, '0') AS p, replace(p_brand, 'Brand', 'B') AS r, concat(p_brand, '-', p_type) AS c, starts_with(p_type, 'S') AS w, split_part(p_type, ' ', 1) AS f, length(p_name) AS n, reverse(p_brand) AS b FROM part")
 _sql("sql_math_fns", "SELECT p_partkey, ROUND(SQRT(p_retailprice), 6) AS q, CAST(FLOOR(p_retailprice) AS BIGINT) AS f, CAST(CEIL(p_retailprice) AS BIGINT) AS c, ABS(p_size - 25) AS a, ROUND(LN(p_retailprice), 6) AS l, ROUND(POWER(p_size, 2), 2) AS p, p_size % 7 AS m, CAST(SIGN(p_size - 25) AS INT) AS s FROM part")
+_sql("sql_dialect_names", "SELECT event_id, CAST(date_bin(INTERVAL '15' MINUTE, CAST(ts AS TIMESTAMP)) AS TIMESTAMP_NTZ) AS bin, strpos(event_type, 'c') AS at, regexp_match(event_type, '([aeiou]+)')[0] AS m, date_part('hour', ts) AS h FROM events",
+     "SELECT event_id, time_bucket(INTERVAL 15 MINUTE, ts, TIMESTAMP '1970-01-01') AS bin, CAST(strpos(event_type, 'c') AS INTEGER) AS at, nullif(regexp_extract(event_type, '([aeiou]+)', 1), '') AS m, CAST(date_part('hour', ts) AS INTEGER) AS h FROM events")
 _sql("sql_conditional", "SELECT o_orderkey, CASE WHEN o_totalprice > 300000 THEN 'high' WHEN o_totalprice > 100000 THEN 'mid' ELSE 'low' END AS c, COALESCE(NULLIF(o_orderstatus, 'F'), 'done') AS s, GREATEST(o_orderkey, o_custkey) AS g, LEAST(o_orderkey, o_custkey) AS l, o_orderstatus IN ('F', 'O') AS i, o_orderpriority LIKE '%URGENT%' AS u FROM orders")
 
 
@@ -129,7 +132,6 @@ def _(spark, d):
 
 @_query("sql_compat_functions", "SELECT p_partkey, CAST(strpos(p_type, 'S') AS INTEGER) AS at, regexp_replace(p_name, '[aeiou]', '_') AS first, trunc(p_retailprice * 10) / 10 AS t, p_partkey // 7 AS d FROM part")
 def _(spark, d):
-    dialect.register(spark)
     return sql.query(spark, "SELECT p_partkey, strpos(p_type, 'S') AS at, regexp_replace_first(p_name, '[aeiou]', '_') AS first, trunc_to(p_retailprice, 1) AS t, int_div(p_partkey, 7) AS d FROM part", [f"{d}/part.parquet"])
 
 
@@ -154,14 +156,24 @@ def _(spark, d):
     return rows.slice_rows(spark, _src(spark, d, "lineitem"), "1000:2000", columns="/key$/,l_linenumber", place=True).drop(rows.FILE).withColumnRenamed(rows.ROW, "row")
 
 
-@_query("slice_row_groups", "SELECT * FROM nation")
+def _grouped(spark: SparkSession, d: str, table: str, size: int, by: str) -> list[Source]:
+    """The table written as one file in order of a key, in row groups of `size` rows."""
+    out = f"{_tmp(spark)}/{table}.parquet"
+    sinks.write(_t(spark, d, table).repartition(1).sortWithinPartitions(by), out, "parquet", row_group_rows=size)
+    return resolve(spark, [out])
+
+
+_IN_ORDER = "(SELECT *, CAST((row_number() OVER (ORDER BY {by}) - 1) // {size} AS INTEGER) AS g FROM {t})"
+
+
+@_query("slice_row_groups", f"SELECT c_custkey FROM {_IN_ORDER.format(by='c_custkey', size=400, t='customer')} WHERE g IN (1, 3)")
 def _(spark, d):
-    return rows.slice_rows(spark, _src(spark, d, "nation"), row_groups="0")
+    return rows.slice_rows(spark, _grouped(spark, d, "customer", 400, "c_custkey"), row_groups="1,3", columns="c_custkey")
 
 
-@_query("prune_row_groups", "SELECT o_orderkey FROM orders WHERE (SELECT max(o_orderkey) FROM orders) >= 10")
+@_query("prune_row_groups", f"SELECT o_orderkey FROM {_IN_ORDER.format(by='o_orderkey', size=1000, t='orders')} WHERE g IN (SELECT g FROM {_IN_ORDER.format(by='o_orderkey', size=1000, t='orders')} GROUP BY g HAVING max(o_orderkey) >= 2500)")
 def _(spark, d):
-    return rows.slice_rows(spark, _src(spark, d, "orders"), prune="o_orderkey >= 10", columns="o_orderkey")
+    return rows.slice_rows(spark, _grouped(spark, d, "orders", 1000, "o_orderkey"), prune="o_orderkey >= 2500", columns="o_orderkey")
 
 
 for _name, _pattern, _cols in [
@@ -179,9 +191,12 @@ def _(spark, d):
     return rows.display(_t(spark, d, "documents").select("doc_id", "text"), 20)
 
 
-@_query("sample_exact")
+@_query("sample_exact", "SELECT least(100, count(*)) AS n, least(100, count(*)) AS different, least(100, count(*)) AS there FROM orders")
 def _(spark, d):
-    return rows.sample(spark, _src(spark, d, "orders"), 100, seed=42)
+    """Which rows are drawn is by hash; their number, and that they are different rows of the table, are compared."""
+    got = rows.sample(spark, _src(spark, d, "orders"), 100, seed=42)
+    there = _t(spark, d, "orders").withColumn("there", F.lit(1))
+    return got.join(there, got.columns, "left").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_orderkey").alias("different"), F.count("there").alias("there"))
 
 
 @_query("split_n_counts", f"SELECT CAST(file_row_number // ((SELECT count(*) FROM orders) + 6) // 7 AS INTEGER) AS part, 0 AS n FROM read_parquet('{AT}/orders.parquet', file_row_number=true) WHERE false UNION ALL SELECT CAST(file_row_number // (((SELECT count(*) FROM orders) + 6) // 7) AS INTEGER), count(*) FROM read_parquet('{AT}/orders.parquet', file_row_number=true) GROUP BY 1")
@@ -189,11 +204,16 @@ def _(spark, d):
     return rows.split_ids(spark, _src(spark, d, "orders"), 7).groupBy(F.col("_part").alias("part")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@_query("split_row_groups", "SELECT CAST(0 AS INTEGER) AS part, count(*) AS n FROM orders UNION ALL SELECT 1, count(*) FROM customer")
+@_query("split_row_groups", f"SELECT g AS part, count(*) AS n FROM {_IN_ORDER.format(by='c_custkey', size=400, t='customer')} GROUP BY g")
+def _(spark, d):
+    return rows.split_row_groups(spark, _grouped(spark, d, "customer", 400, "c_custkey")).groupBy(F.col("_part").cast("int").alias("part")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("footer_nulls", "SELECT 'status' AS name, round(100.0 * count(*) FILTER (WHERE o_orderstatus = 'F') / count(*), 1)::DOUBLE AS null_percent FROM orders UNION ALL SELECT 'o_orderkey', 0.0 FROM orders LIMIT 2")
 def _(spark, d):
-    both = [_src(spark, d, "orders")[0], _src(spark, d, "customer")[0]]
-    out = [rows.split_row_groups(spark, [s]).groupBy("_part").agg(F.count(F.lit(1)).alias("n")).select((F.col("_part") + k).alias("part"), "n") for k, s in enumerate(both)]
-    return out[0].union(out[1])
+    out = f"{_tmp(spark)}/nulls.parquet"
+    sinks.write(_t(spark, d, "orders").selectExpr("o_orderkey", "nullif(o_orderstatus, 'F') AS status"), out)
+    return footers.stats(spark, resolve(spark, [out])).select("name", "null_percent")
 
 
 @_query("split_by_counts", "SELECT coalesce(nullif(event_type, 'click'), '__null__') AS label, count(*) AS n FROM events GROUP BY 1")
@@ -282,17 +302,50 @@ def _(spark, d):
     return footers.schema_diff_many(spark, _src(spark, d, "region", "customer", "nation")).withColumn("file", _base()).select("file", *[F.col(c).cast("int") for c in ("added", "removed", "changed")], "verdict")
 
 
-@_query("metadata_diff", "SELECT (SELECT count(*) FROM orders) AS rows_a, (SELECT count(*) FROM lineitem) AS rows_b")
+_FILE = "(SELECT count(*) FROM {0}) AS rows_{1}, (SELECT count(DISTINCT row_group_id) FROM parquet_metadata('{2}/{0}.parquet')) AS row_groups_{1}, (SELECT any_value(compression) FROM parquet_metadata('{2}/{0}.parquet')) AS compression_{1}, (SELECT size FROM read_blob('{2}/{0}.parquet')) AS size_{1}"
+
+
+@_query("metadata_diff", f"SELECT {_FILE.format('orders', 'a', AT)}, {_FILE.format('lineitem', 'b', AT)}")
 def _(spark, d):
-    return footers.metadata_diff(spark, *_src(spark, d, "orders", "lineitem")).select("rows_a", "rows_b")
+    return footers.metadata_diff(spark, *_src(spark, d, "orders", "lineitem")).withColumns({f"{c}_{x}": F.col(f"{c}_{x}").cast("long") for c in ("rows", "row_groups", "size") for x in "ab"})
 
 
-@_query("bloom_info")
+@_query("bloom_info", "SELECT * FROM (VALUES ('o_custkey', true), ('o_orderstatus', false)) t(\"column\", has_bloom_filter)")
 def _(spark, d):
-    return footers.bloom_stats(spark, _src(spark, d, "orders"))
+    out = f"{_tmp(spark)}/bloom"
+    _t(spark, d, "orders").select("o_custkey", "o_orderstatus").write.option("parquet.bloom.filter.enabled#o_custkey", "true").option("parquet.enable.dictionary", "false").parquet(out)
+    got = footers.bloom_stats(spark, resolve(spark, [out]))
+    return got.groupBy("column").agg(F.bool_and((F.col("bloom_filter_size") > 0) & F.col("has_bloom_filter")).alias("all"), F.bool_or("has_bloom_filter").alias("any")).select("column", F.coalesce("all", "any").alias("has_bloom_filter"))
+
+
+# fixed values: orders' types in each dialect: whole number, text, float, time
+_DDL = {
+    "duckdb": ("BIGINT", "VARCHAR", "DOUBLE", "TIMESTAMP"),
+    "postgres": ("BIGINT", "TEXT", "DOUBLE PRECISION", "TIMESTAMP"),
+    "bigquery": ("INT64", "STRING", "FLOAT64", "TIMESTAMP"),
+    "snowflake": ("BIGINT", "VARCHAR", "DOUBLE", "TIMESTAMP_NTZ"),
+    "redshift": ("BIGINT", "VARCHAR(65535)", "DOUBLE PRECISION", "TIMESTAMP"),
+    "mysql": ("BIGINT", "TEXT", "DOUBLE", "DATETIME"),
+    "clickhouse": ("Nullable(Int64)", "Nullable(String)", "Nullable(Float64)", "Nullable(DateTime64(6))"),
+    "spark": ("LongType()", "StringType()", "DoubleType()", "TimestampType()"),
+}
+
+
+def _ddl_rows() -> str:
+    """The statements as SQL values, from the types above."""
+    found = []
+    for name, (number, text, real, time) in _DDL.items():
+        columns = {"o_orderkey": number, "o_custkey": number, "o_orderstatus": text, "o_totalprice": real, "o_orderdate": time, "o_orderpriority": text}
+        if name == "spark":
+            statement = "orders = StructType([\n" + ",\n".join(f'    StructField("{c}", {t}, True)' for c, t in columns.items()) + "\n])"
+        else:
+            end = {"mysql": ") ENGINE=InnoDB;", "clickhouse": ") ENGINE = MergeTree()\nORDER BY tuple();"}.get(name, ");")
+            statement = "CREATE TABLE orders (\n" + ",\n".join(f"    {c} {t}" for c, t in columns.items()) + "\n" + end
+        found.append(f"('{name}', '{statement}')")
+    return f"SELECT * FROM (VALUES {', '.join(found)}) t(dialect, statement)"
 
 
-@_query("ddl_all_dialects")
+@_query("ddl_all_dialects", _ddl_rows())
 def _(spark, d):
     return spark.createDataFrame([(x, ddl.ddl(_src(spark, d, "orders")[0], x)) for x in ddl.DIALECTS], "dialect string, statement string")
 
@@ -343,16 +396,30 @@ def _(spark, d):
     return combine.diff_keyed(o.where("o_orderkey % 10 <> 0"), b, "o_orderkey").select("status", "o_orderkey")
 
 
-@_query("diff_totals", "SELECT count(*) FILTER (WHERE o_orderkey % 10 = 0) AS total_added, CAST(0 AS BIGINT) AS total_removed, CAST(0 AS BIGINT) AS total_changed FROM orders")
+@_query("diff_totals", "SELECT count(*) FILTER (WHERE o_orderkey % 10 = 0 AND o_orderpriority <> '5-LOW') AS total_added, count(*) FILTER (WHERE o_orderkey % 10 <> 0 AND o_orderpriority = '5-LOW') AS total_removed, count(*) FILTER (WHERE o_orderkey % 10 <> 0 AND o_orderpriority <> '5-LOW' AND o_orderstatus = 'F') AS total_changed FROM orders")
 def _(spark, d):
     o = _t(spark, d, "orders")
-    return combine.diff_totals(combine.diff_keyed(o.where("o_orderkey % 10 <> 0"), o, "o_orderkey"))
+    b = o.where("o_orderpriority <> '5-LOW'").withColumn("o_orderstatus", F.nullif(F.col("o_orderstatus"), F.lit("F")))
+    return combine.diff_totals(combine.diff_keyed(o.where("o_orderkey % 10 <> 0"), b, "o_orderkey"))
 
 
-@_query("diff_positional", "SELECT CAST(NULL AS VARCHAR) AS status, CAST(NULL AS BIGINT) AS row WHERE false")
+@_query("diff_positional", "SELECT CASE WHEN c_acctbal < 0 THEN 'changed' ELSE 'same' END AS status, row_number() OVER (ORDER BY c_custkey) - 1 AS row FROM customer QUALIFY status = 'changed' UNION ALL SELECT 'added', (SELECT count(*) FROM customer) + n FROM range(3) t(n)")
 def _(spark, d):
-    s = _src(spark, d, "orders")[0]
-    return combine.diff_positional(spark, s, s).select("status", "row")
+    """Customers in order against a copy with some balances changed and three rows more."""
+    c, tmp = _t(spark, d, "customer").repartition(1).sortWithinPartitions("c_custkey"), _tmp(spark)
+    sinks.write(c, f"{tmp}/a.parquet")
+    more = spark.range(3).select(F.lit(None).cast("long").alias("c_custkey"), F.lit("new").alias("c_name"), F.lit(0).alias("c_nationkey"), F.lit(1.0).alias("c_acctbal"), F.lit("x").alias("c_mktsegment"))
+    changed = c.withColumn("c_acctbal", F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")))
+    sinks.write(changed.unionByName(more).repartition(1).sortWithinPartitions(F.col("c_custkey").asc_nulls_last()), f"{tmp}/b.parquet")
+    return combine.diff_positional(spark, *resolve(spark, [f"{tmp}/a.parquet", f"{tmp}/b.parquet"], keep_order=True)).select("status", "row")
+
+
+@_query("union_multi_file_table", "SELECT c_mktsegment AS segment, count(*) AS n FROM customer GROUP BY 1")
+def _(spark, d):
+    """One SQL table over a folder of files."""
+    tmp = _tmp(spark)
+    _t(spark, d, "customer").repartition(4).write.parquet(f"{tmp}/people")
+    return sql.query(spark, "SELECT c_mktsegment AS segment, count(*) AS n FROM people GROUP BY 1", [f"{tmp}/people/"])
 
 
 @_query("sort_nulls_first", "SELECT o_orderkey, CAST(row_number() OVER (ORDER BY nullif(o_orderstatus, 'F') ASC NULLS FIRST, o_orderkey) AS INTEGER) AS place FROM orders")
@@ -366,6 +433,15 @@ def _(spark, d):
 
 
 # G: checks and reshaping
+@_query("check_damaged", "SELECT * FROM (VALUES ('good', true), ('bad', false)) t(file, passed)")
+def _(spark, d):
+    """A good file and one that is no Parquet file."""
+    tmp = _tmp(spark)
+    sinks.write(_t(spark, d, "region"), f"{tmp}/good.parquet")
+    sinks.write_text(spark, f"{tmp}/bad.parquet", ["PAR1 but no more"])
+    return check.structural(spark, resolve(spark, [tmp])).groupBy(_base().alias("file")).agg(F.bool_and("passed").alias("passed"))
+
+
 @_query("check_structural", "SELECT f AS file, n AS name, true AS passed FROM (VALUES ('orders'), ('events')) a(f), (VALUES ('footer'), ('row counts'), ('schema consistent'), ('statistics'), ('codec'), ('encodings'), ('page offsets'), ('read data')) b(n)")
 def _(spark, d):
     return check.structural(spark, _src(spark, d, "orders", "events"), read_data=True).select(_base().alias("file"), "name", "passed")
@@ -389,10 +465,16 @@ def _(spark, d):
     return check.contract(spark, _src(spark, d, "orders"), _RULES, read_data=True, now="2020-01-01").select("name", "passed")
 
 
-@_query("compact_plan")
+@_query("compact_plan", "SELECT * FROM (VALUES (0, 3, 600), (1, 3, 600), (2, 2, 400)) t(\"group\", files, total_rows)")
 def _(spark, d):
-    plan = reshape.plan_compaction([(f"f{k:02d}.parquet", 10_000_000 * (k % 5 + 1), 100) for k in range(20)], "128MB")
-    return spark.createDataFrame([(k, g["files"], g["total_bytes"], g["total_rows"]) for k, g in enumerate(plan)], "`group` int, files array<string>, total_bytes long, total_rows long")
+    """Eight files of 200 rows, planned by their footers; a group is full at the bytes of two and a half files."""
+    tmp = _tmp(spark)
+    one = _t(spark, d, "region").crossJoin(spark.range(200 // 5)).select("r_name", "id").repartition(1)  # 5 rows by 40
+    for k in range(8):
+        sinks.write(one, f"{tmp}/f{k}.parquet")
+    files = resolve(spark, [tmp])
+    plan = reshape.compact(spark, files, f"{tmp}/out", target=str(int(2.5 * max(s.size for s in files))), dry_run=True)
+    return plan.select("group", F.size("files").alias("files"), F.col("total_rows").cast("int").alias("total_rows"))
 
 
 def _tmp(spark: SparkSession) -> str:
@@ -413,6 +495,14 @@ for _name, _end in [("csv", "csv"), ("tsv", "tsv"), ("jsonl", "jsonl"), ("arrow"
         return _t(spark, f"{tmp}/back", "customer").groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("c_custkey").cast("long")).alias("keys"))
 
 
+@_query("convert_roundtrip_documents", "SELECT doc_id, md5(coalesce(text, '?')) AS text FROM documents")
+def _(spark, d):
+    """Texts with quotes, commas and line breaks by way of CSV."""
+    tmp = _tmp(spark)
+    reshape.convert(spark, [f"{d}/documents.parquet"], f"{tmp}/documents.csv")
+    return sinks.read(spark, f"{tmp}/documents.csv").select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.coalesce("text", F.lit("?"))).alias("text"))
+
+
 @_query("rewrite_codec", "SELECT * FROM (VALUES ('BROTLI', 1500, 'me'), ('ZSTD', 1500, NULL)) t(compression, num_rows, owner)".replace("1500", "(SELECT count(*) FROM customer)"))
 def _(spark, d):
     tmp, s = _tmp(spark), _src(spark, d, "customer")[0]

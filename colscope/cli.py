@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import argparse
+import dataclasses
+import json
 import os
 import sys
 from collections.abc import Sequence
@@ -17,7 +19,7 @@ from .operators import check, combine, ddl, footers, reshape, rows
 from .plans import sql
 from .sources import sinks
 from .sources.footer import arrow_schema, footer_trees
-from .sources.resolve import cloud_conf, configure_cloud, is_parquet, resolve
+from .sources.resolve import cloud_conf, configure_cloud, is_parquet, resolve, spark_path
 
 # fixed values: commands and their short names
 ALIASES = {
@@ -31,6 +33,7 @@ def parser() -> argparse.ArgumentParser:
     both = argparse.ArgumentParser(add_help=False)
     for flags, kw in [
         (("-o", "--output"), {}), (("-f", "--format"), {}), (("-q", "--quiet"), {"action": "store_true"}), (("-v", "--verbose"), {"action": "store_true"}),
+        (("--folder",), {"action": "store_true", "help": "write a folder with files of all tasks instead of one file"}),
         (("-j", "--jobs"), {"type": int}), (("--endpoint",), {}), (("--master",), {}), (("--config",), {}),
     ]:
         both.add_argument(*flags, **kw)
@@ -87,19 +90,52 @@ def _two(files: list) -> list:
     return files
 
 
+def _groups(rows_: list[dict], several: bool) -> list[dict]:
+    """Rows of row_group_stats() by row group: row_group, rows, columns."""
+    got: dict[tuple, dict] = {}
+    for r in rows_:
+        file = r.pop("file")
+        g = got.setdefault((file, r["row_group"]), ({"file": file} if several else {}) | {"row_group": r["row_group"], "rows": r["rows"], "columns": []})
+        g["columns"].append(r)
+    return list(got.values())
+
+
 def run(spark: SparkSession, a: argparse.Namespace, settings: config.Settings, out) -> None:
     """Do a command; rows and text go to `out` or to the output file."""
 
     def show(df: DataFrame) -> None:
-        if settings.output and is_parquet(settings.output):
-            return sinks.write(df, settings.output, "parquet")
-        lines = render.render(df, render.choose(settings.format, settings.output, out.isatty()))
+        if settings.output and (is_parquet(settings.output) or a.folder):
+            return sinks.write(df, settings.output, settings.format if a.folder and settings.format in ("csv", "tsv", "jsonl") else None, single=not a.folder)
+        put(render.render(df, form()))
+
+    def form() -> str:
+        return render.choose(settings.format, settings.output, out.isatty())
+
+    def put(lines) -> None:
         if settings.output:
-            with open(settings.output, "w") as f:
-                f.writelines(x + "\n" for x in lines)
+            sinks.write_text(spark, spark_path(settings.output), lines)
         else:
             out.writelines(x + "\n" for x in lines)
 
+    def document(shape) -> bool:
+        """One JSON document, if that is the form asked for: `shape` gives it. Reports have a row per file, column or check."""
+        if form() != "json" or settings.output and is_parquet(settings.output):
+            return False
+        put([json.dumps(shape(), indent=2, ensure_ascii=False)])
+        return True
+
+    def listed(df: DataFrame, *without: str) -> list[dict]:
+        return [{k: render.plain(v) for k, v in r.asDict().items() if k not in without} for r in df.collect()]
+
+    def by_file(df: DataFrame) -> dict[str, list[dict]]:
+        got: dict[str, list[dict]] = {}
+        for r in listed(df):
+            got.setdefault(r.pop("file"), []).append(r)
+        return got
+
+    def one_or_all(found: list):
+        return found[0] if len(found) == 1 else found
+
     say = lambda s: None if settings.quiet else print(s, file=sys.stderr)
     c = a.command
     if c == "sql":
@@ -120,6 +156,14 @@ def run(spark: SparkSession, a: argparse.Namespace, settings: config.Settings, o
         if a.schema_only:
             return show(footers.schema_columns(spark, files, a.sort))
         df = footers.inspect_all(spark, files) if len(files) > 1 else footers.inspect(spark, files)
+
+        def inspected() -> list[dict]:
+            cols = by_file(footers.schema_columns(spark, files).select("file", "name", "type", "nullable", "encoding"))
+            meta = [{k: v for k, v in r.items() if k != "key_value_metadata" or v} for r in listed(df)]
+            return [r | ({} if a.meta_only else {"schema": cols.get(r["file"], [])}) for r in meta]
+
+        if document(inspected):
+            return
         show(df.drop("key_value_metadata") if not (a.meta_only or a.raw or a.verbose) else df)
         if a.all or a.verbose:
             show(footers.schema_columns(spark, files, a.sort))
@@ -131,12 +175,12 @@ def run(spark: SparkSession, a: argparse.Namespace, settings: config.Settings, o
         elif a.arrow:
             print(arrow_schema(files[0]), file=out)
         elif a.expand or mode == "extract":
-            import json
-
             print(json.dumps(footer_trees(files[:1])[0]["children"], indent=2), file=out)
         else:
             show(footers.schema_columns(spark, files))
     elif c == "stats":
+        if a.row_groups and not a.pages and document(lambda: _groups(listed(footers.row_group_stats(spark, files, a.columns)), len(files) > 1)):
+            return
         df = footers.page_stats(spark, files, a.columns) if a.pages else footers.bloom_stats(spark, files) if a.bloom else footers.row_group_stats(spark, files, a.columns) if a.row_groups else footers.scanned_stats(spark.read.parquet(*[f.path for f in files])) if a.scan else footers.stats(spark, files, a.columns, a.sort)
         show(df.select("file", "name", "compressed_bytes", "uncompressed_bytes") if a.size_only and "uncompressed_bytes" in df.columns else df)
     elif c in ("head", "tail"):
@@ -160,10 +204,25 @@ def run(spark: SparkSession, a: argparse.Namespace, settings: config.Settings, o
         if a.contract:
             df = df.unionByName(check.contract(spark, files, check.load_contract(a.contract), a.read_data))
         df = spark.createDataFrame(df.collect(), df.schema)  # a row per check
-        show(df)
+
+        def checked() -> list | dict:
+            shape = lambda file, of: {"file": file, "passed": sum(x["passed"] for x in of), "failed": sum(not x["passed"] for x in of), "checks": [{k: v for k, v in x.items() if v is not None} for x in of]}
+            return one_or_all([shape(file, of) for file, of in by_file(df).items()])
+
+        if not document(checked):
+            show(df)
         check.require(df)
     elif c == "compact":
-        show(reshape.compact(spark, files, a.output or ".", a.target_size, a.min_file_size, a.preserve_partitions, a.sort_by, a.in_place, a.backup, a.dry_run, **_parquet(a)))
+        done = reshape.compact(spark, files, spark_path(a.output or "."), a.target_size, a.min_file_size, a.preserve_partitions, a.sort_by, a.in_place, a.backup, a.dry_run, **_parquet(a))
+        settings = dataclasses.replace(settings, output=None)  # the folder of the files, not of the report
+
+        def planned() -> dict:
+            groups = listed(done)
+            size = {s.name: s.size for s in files}
+            return {"input_files": len(files), "input_size_bytes": sum(size.values()), "input_rows": footers.count(spark, files, total=True).first().total, "output_files": len(groups), "groups": [{"files": g["files"], "total_bytes": g["total_bytes"]} for g in groups]}
+
+        if not document(planned):
+            show(done)
     elif c == "rewrite":
         if len(files) != 1:
             raise UsageError("rewrite takes one file")
@@ -171,27 +230,49 @@ def run(spark: SparkSession, a: argparse.Namespace, settings: config.Settings, o
         reshape.rewrite(spark, files[0], _needed(a), options.pop("compression", None), a.sort_by, a.strip_metadata, a.strip_kv, a.set_kv, **options)
     elif c == "cat":
         df = combine.cat_files(spark, files, a.union_by_name, a.add_filename, a.sort_by)
-        sinks.write(df, _needed(a), "parquet" if is_parquet(a.output) else None)
+        sinks.write(df, _needed(a), "parquet" if is_parquet(a.output) else None, single=not a.folder)
     elif c == "count":
         if a.total_only or len(files) == 1:
-            print(footers.count(spark, files, total=True).first().total, file=out)
-        else:
-            show(footers.count(spark, files))
+            return put([str(footers.count(spark, files, total=True).first().total)])
+        rows_of = footers.count(spark, files)
+        if not document(lambda: {"files": (got := listed(rows_of)), "total": sum(r["rows"] for r in got)}):
+            show(rows_of)
     elif c == "size":
-        show(footers.column_sizes(spark, files, a.sort, a.top))
+        sizes = footers.column_sizes(spark, files, a.sort, a.top)
+
+        def sized() -> list | dict:
+            cols = by_file(sizes)
+            return one_or_all([{"file": r["file"], "columns": cols.get(r["file"], [])} | {k: v for k, v in r.items() if k != "file"} for r in listed(footers.size_totals(spark, files))])
+
+        if document(sized):
+            return
+        show(sizes)
         for r in footers.size_totals(spark, files).collect():
             say(f"{r.file}: data {format_size(r.data_compressed_bytes, a.bytes)}, footer {format_size(r.footer_bytes, a.bytes)}, file {format_size(r.file_size_bytes, a.bytes)}")
     elif c == "diff":
         x, y = _two(files)
-        show(footers.schema_diff(spark, x, y, a.changes_only))
-        show(footers.metadata_diff(spark, x, y))
+        df = None
         if a.data:
             df = combine.diff_keyed(spark.read.parquet(x.path), spark.read.parquet(y.path), a.key) if a.key else combine.diff_positional(spark, x, y)
-            show(df.limit(1000))  # shown differences only; the totals are of all
+
+        def compared() -> dict:
+            got = {"schema_diff": listed(footers.schema_diff(spark, x, y, a.changes_only)), "metadata_diff": listed(footers.metadata_diff(spark, x, y))[0]}
+            if df is not None:
+                some = listed(df.limit(1000))  # shown differences only; the totals are of all
+                pick = lambda s: [{k: v for k, v in r.items() if k != "status"} for r in some if r["status"] == s]
+                got["data_diff"] = {s: pick(s) for s in ("added", "removed", "changed")} | listed(combine.diff_totals(df))[0]
+            return got
+
+        if document(compared):
+            return
+        show(footers.schema_diff(spark, x, y, a.changes_only))
+        show(footers.metadata_diff(spark, x, y))
+        if df is not None:
+            show(df.limit(1000))
             show(combine.diff_totals(df))
     elif c == "merge":
         x, y = _two(files)
-        sinks.write(combine.merge(spark.read.parquet(x.path), spark.read.parquet(y.path), a.key, a.left), _needed(a))
+        sinks.write(combine.merge(spark.read.parquet(x.path), spark.read.parquet(y.path), a.key, a.left), _needed(a), single=not a.folder)
 
 
 def main(argv: Sequence[str] | None = None, out=None, spark: SparkSession | None = None) -> int:

@@ -11,31 +11,31 @@ from ..sources.resolve import Source, is_identifier, table_name
 ALIASES = {"ch": "clickhouse", "postgresql": "postgres", "pg": "postgres", "bq": "bigquery", "sf": "snowflake", "rs": "redshift"}
 DIALECTS = ["duckdb", "spark", "clickhouse", "postgres", "bigquery", "snowflake", "redshift", "mysql"]
 
-# fixed values: a line per Parquet type, a name per dialect in the order above; "-" falls back to the physical type
+# fixed values: a line per Parquet type, a name per dialect in the order above; None falls back to the physical type
 TYPES = {
-    "String": "VARCHAR|StringType()|String|TEXT|STRING|VARCHAR|VARCHAR(65535)|TEXT",
-    "Int8": "TINYINT|ByteType()|Int8|SMALLINT|INT64|INTEGER|SMALLINT|TINYINT",
-    "Int16": "SMALLINT|ShortType()|Int16|SMALLINT|INT64|INTEGER|SMALLINT|SMALLINT",
-    "Int32": "INTEGER|IntegerType()|Int32|INTEGER|INT64|INTEGER|INTEGER|INT",
-    "Int64": "BIGINT|LongType()|Int64|BIGINT|INT64|BIGINT|BIGINT|BIGINT",
-    "UInt": "BIGINT|LongType()|UInt{bits}|BIGINT|INT64|BIGINT|BIGINT|BIGINT",
-    "Timestamp": "TIMESTAMP|TimestampType()|DateTime64({digits})|TIMESTAMP|TIMESTAMP|TIMESTAMP_NTZ|TIMESTAMP|DATETIME",
-    "Date": "DATE|DateType()|Date32|DATE|DATE|DATE|DATE|DATE",
-    "Time": "TIME|-|DateTime64(6)|TIME|TIME|TIME|VARCHAR(20)|TIME",
-    "Decimal": "DECIMAL({p}, {s})|DecimalType({p}, {s})|Decimal({p}, {s})|NUMERIC({p}, {s})|NUMERIC|NUMBER({p}, {s})|DECIMAL({p}, {s})|DECIMAL({p}, {s})",
-    "UUID": "UUID|-|UUID|UUID|STRING|VARCHAR|VARCHAR(36)|CHAR(36)",
-    "JSON": "VARCHAR|StringType()|String|JSONB|JSON|VARIANT|VARCHAR(65535)|JSON",
-    "BSON": "BLOB|-|-|-|-|-|-|-",
-    "Enum": "VARCHAR|StringType()|String|-|-|-|-|-",
-    "group": "STRUCT|StructType()|Tuple()|JSONB|STRUCT|OBJECT|VARCHAR(65535)|JSON",
-    "BOOLEAN": "BOOLEAN|BooleanType()|Bool|BOOLEAN|BOOL|BOOLEAN|BOOLEAN|TINYINT(1)",
-    "INT32": "INTEGER|IntegerType()|Int32|INTEGER|INT64|INTEGER|INTEGER|INT",
-    "INT64": "BIGINT|LongType()|Int64|BIGINT|INT64|BIGINT|BIGINT|BIGINT",
-    "INT96": "TIMESTAMP|TimestampType()|DateTime64(9)|TIMESTAMP|TIMESTAMP|TIMESTAMP_NTZ|TIMESTAMP|DATETIME",
-    "FLOAT": "FLOAT|FloatType()|Float32|REAL|FLOAT64|FLOAT|REAL|FLOAT",
-    "DOUBLE": "DOUBLE|DoubleType()|Float64|DOUBLE PRECISION|FLOAT64|DOUBLE|DOUBLE PRECISION|DOUBLE",
-    "BYTE_ARRAY": "BLOB|BinaryType()|String|BYTEA|BYTES|BINARY|VARCHAR(65535)|BLOB",
-    "FIXED_LEN_BYTE_ARRAY": "BLOB|BinaryType()|FixedString({width})|BYTEA|BYTES|BINARY|VARCHAR(65535)|BLOB",
+    "String": ("VARCHAR", "StringType()", "String", "TEXT", "STRING", "VARCHAR", "VARCHAR(65535)", "TEXT"),
+    "Int8": ("TINYINT", "ByteType()", "Int8", "SMALLINT", "INT64", "INTEGER", "SMALLINT", "TINYINT"),
+    "Int16": ("SMALLINT", "ShortType()", "Int16", "SMALLINT", "INT64", "INTEGER", "SMALLINT", "SMALLINT"),
+    "Int32": ("INTEGER", "IntegerType()", "Int32", "INTEGER", "INT64", "INTEGER", "INTEGER", "INT"),
+    "Int64": ("BIGINT", "LongType()", "Int64", "BIGINT", "INT64", "BIGINT", "BIGINT", "BIGINT"),
+    "UInt": ("BIGINT", "LongType()", "UInt{bits}", "BIGINT", "INT64", "BIGINT", "BIGINT", "BIGINT"),
+    "Timestamp": ("TIMESTAMP", "TimestampType()", "DateTime64({digits})", "TIMESTAMP", "TIMESTAMP", "TIMESTAMP_NTZ", "TIMESTAMP", "DATETIME"),
+    "Date": ("DATE", "DateType()", "Date32", "DATE", "DATE", "DATE", "DATE", "DATE"),
+    "Time": ("TIME", None, "DateTime64(6)", "TIME", "TIME", "TIME", "VARCHAR(20)", "TIME"),
+    "Decimal": ("DECIMAL({p}, {s})", "DecimalType({p}, {s})", "Decimal({p}, {s})", "NUMERIC({p}, {s})", "NUMERIC", "NUMBER({p}, {s})", "DECIMAL({p}, {s})", "DECIMAL({p}, {s})"),
+    "UUID": ("UUID", None, "UUID", "UUID", "STRING", "VARCHAR", "VARCHAR(36)", "CHAR(36)"),
+    "JSON": ("VARCHAR", "StringType()", "String", "JSONB", "JSON", "VARIANT", "VARCHAR(65535)", "JSON"),
+    "BSON": ("BLOB", None, None, None, None, None, None, None),
+    "Enum": ("VARCHAR", "StringType()", "String", None, None, None, None, None),
+    "group": ("STRUCT", "StructType()", "Tuple()", "JSONB", "STRUCT", "OBJECT", "VARCHAR(65535)", "JSON"),
+    "BOOLEAN": ("BOOLEAN", "BooleanType()", "Bool", "BOOLEAN", "BOOL", "BOOLEAN", "BOOLEAN", "TINYINT(1)"),
+    "INT32": ("INTEGER", "IntegerType()", "Int32", "INTEGER", "INT64", "INTEGER", "INTEGER", "INT"),
+    "INT64": ("BIGINT", "LongType()", "Int64", "BIGINT", "INT64", "BIGINT", "BIGINT", "BIGINT"),
+    "INT96": ("TIMESTAMP", "TimestampType()", "DateTime64(9)", "TIMESTAMP", "TIMESTAMP", "TIMESTAMP_NTZ", "TIMESTAMP", "DATETIME"),
+    "FLOAT": ("FLOAT", "FloatType()", "Float32", "REAL", "FLOAT64", "FLOAT", "REAL", "FLOAT"),
+    "DOUBLE": ("DOUBLE", "DoubleType()", "Float64", "DOUBLE PRECISION", "FLOAT64", "DOUBLE", "DOUBLE PRECISION", "DOUBLE"),
+    "BYTE_ARRAY": ("BLOB", "BinaryType()", "String", "BYTEA", "BYTES", "BINARY", "VARCHAR(65535)", "BLOB"),
+    "FIXED_LEN_BYTE_ARRAY": ("BLOB", "BinaryType()", "FixedString({width})", "BYTEA", "BYTES", "BINARY", "VARCHAR(65535)", "BLOB"),
 }
 DIGITS = {"milliseconds": 3, "microseconds": 6, "nanoseconds": 9}
 
@@ -43,9 +43,9 @@ DIGITS = {"milliseconds": 3, "microseconds": 6, "nanoseconds": 9}
 def _type(dialect: str, physical: str, kind: dict, width: int) -> str:
     at, t = DIALECTS.index(dialect), kind.get("Type")
     key = (f"Int{kind['bitWidth']}" if kind["isSigned"] else "UInt") if t == "Int" else t
-    name = TYPES[key].split("|")[at] if key in TYPES else "-"
-    if name == "-":
-        name = TYPES[physical].split("|")[at]
+    name = TYPES[key][at] if key in TYPES else None
+    if name is None:
+        name = TYPES[physical][at]
     return name.format(bits=kind.get("bitWidth"), digits=DIGITS.get(kind.get("timeUnit"), 6), p=kind.get("precision"), s=kind.get("scale"), width=width)
 
 
@@ -71,7 +71,7 @@ def ddl(source: Source, dialect: str) -> str:
     for node in tree(schema)["children"]:
         nullable = node["repetition"] != "required"
         if node["children"]:
-            columns.append((node["name"], TYPES["group"].split("|")[DIALECTS.index(dialect)], nullable))
+            columns.append((node["name"], TYPES["group"][DIALECTS.index(dialect)], nullable))
         else:
             c = by_path[node["name"]]
             columns.append((node["name"], _type(dialect, c.physical_type, logical(c), max(0, c.length or 0)), nullable))

@@ -43,11 +43,11 @@ STAT_ORDERS = {"name": [F.asc, "name"], "nulls": [F.desc, "null_percent"], "size
 
 
 def stats(spark: SparkSession, sources: Sequence[Source], columns: str | None = None, sort: str | None = None) -> DataFrame:
-    """A row per file and leaf column: null_percent, min, max (compared as the type orders them), distinct_count (sum over row groups, null where the writer left it out), bytes."""
+    """A row per file and leaf column: null_percent, min, max (compared as the type orders them), distinct_count (sum over row groups, null where the writer left it out), bytes. Where a chunk has no statistics, null_percent is null."""
     chunks = _chosen(footer(spark, sources, "chunks"), columns)
     out = chunks.groupBy("file", F.col("path").alias("name"), "type").agg(
         F.min("ordinal").alias("_o"),
-        _percent(F.sum("null_count"), F.sum("rg_rows"), 1).alias("null_percent"),
+        _percent(F.when(F.count("null_count") == F.count(F.lit(1)), F.sum("null_count")), F.sum("rg_rows"), 1).alias("null_percent"),
         _shown(F.min("min_int"), F.min("min_num"), F.min("min_str")).alias("min"),
         _shown(F.max("max_int"), F.max("max_num"), F.max("max_str")).alias("max"),
         F.sum("distinct_count").alias("distinct_count"),

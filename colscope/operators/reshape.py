@@ -91,12 +91,13 @@ def plan_compaction(files: Sequence[tuple[str, int, int]], target: str | int = "
             folders.setdefault(name.rpartition("/")[0] if by_folder else "", []).append((name, size, rows))
     groups = []
     for members in folders.values():
-        now: list = []
+        now, total = [], 0
         for m in members:
             now.append(m)
-            if sum(x[1] for x in now) >= goal:
+            total += m[1]
+            if total >= goal:
                 groups.append(now)
-                now = []
+                now, total = [], 0
         if now:
             groups.append(now)
     return [{"files": [x[0] for x in g], "total_bytes": sum(x[1] for x in g), "total_rows": sum(x[2] for x in g)} for g in groups if len(g) > 1]

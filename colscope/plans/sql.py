@@ -8,6 +8,7 @@ from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
 
 from ..errors import UsageError
+from ..functions import dialect
 from ..sources.footer import signatures
 from ..sources.resolve import Source, expand, is_identifier, looks_like_sql, table_name, unique_name
 
@@ -44,6 +45,7 @@ def view(spark: SparkSession, name: str, files: Sequence[Source]) -> DataFrame:
 def query(spark: SparkSession, text: str, inputs: Sequence[str] = (), aliases: Sequence[str] | dict[str, str] = (), batch_size: int | None = None) -> DataFrame:
     """The result of a query over the inputs' tables; errors name the tables that there are."""
     tables = register(spark, inputs, aliases)
+    dialect.register(spark)
     if batch_size:
         spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(batch_size))
     try:
@@ -60,10 +62,9 @@ def explain(spark: SparkSession, text: str, inputs: Sequence[str] = (), aliases:
 
 
 def analyze(spark: SparkSession, text: str, inputs: Sequence[str] = (), aliases: Sequence[str] | dict[str, str] = ()) -> DataFrame:
-    """Run a query for its metrics: depth, node, metric, value of each step of the plan that ran."""
+    """Run a query once, without its rows leaving the executors, for its metrics: depth, node, metric, value of each step of the plan that ran."""
     df = query(spark, text, inputs, aliases)
-    df.write.format("noop").mode("overwrite").save()
-    df._jdf.collectToPython()  # so that this plan's own counters are filled
+    df._jdf.queryExecution().toRdd().count()
     rows: list[tuple] = []
 
     def walk(node, depth: int) -> None:

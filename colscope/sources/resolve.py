@@ -13,6 +13,7 @@ from pyspark.sql import SparkSession
 
 from ..errors import UsageError
 
+# fixed values: file names that are read, words that begin a query
 EXTENSIONS = (".parquet", ".parq", ".pq")
 SQL_WORDS = {"select", "with", "explain", "values", "show", "describe", "table", "from"}
 
@@ -36,6 +37,7 @@ def is_glob(path: str) -> bool:
 
 def spark_path(text: str) -> str:
     """Addresses as Hadoop's connectors name them: s3:// and r2:// are s3a://, az:// is abfss://, gcs:// is gs://."""
+    # fixed values: schemes, and the connectors' for them
     for ours, theirs in (("s3://", "s3a://"), ("r2://", "s3a://"), ("az://", "abfss://"), ("azure://", "abfss://"), ("gcs://", "gs://")):
         if text.startswith(ours):
             return theirs + text[len(ours) :]
@@ -186,7 +188,7 @@ def resolve(spark: SparkSession, inputs: Sequence[str], keep_order: bool = False
 def table_name(text: str) -> str:
     """orders*.parquet -> orders, data/year=2024/ -> year_2024, 2024.parquet -> t_2024."""
     path = text.split("://", 1)[-1].split("?", 1)[0] if text.startswith(("http://", "https://")) else text.split("://", 1)[-1]
-    parts = [x for x in path.split("/") if x]
+    parts = [x for x in path.replace("\\", "/").split("/") if x]
     while len(parts) > 1 and re.split(r"[*?\[]", parts[-1])[0] == "":
         parts.pop()
     last = re.split(r"[*?\[]", parts[-1])[0] if parts else ""

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import json
-import os
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,9 +13,13 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from ..errors import UsageError
+from .resolve import spark_path
 
 # fixed values: codec names, and Spark's for them
 CODECS = {"none": "none", "uncompressed": "none", "snappy": "snappy", "gzip": "gzip", "zstd": "zstd", "lz4": "lz4_raw", "brotli": "brotli"}
+LEVELS = {"gzip": range(10), "brotli": range(12), "zstd": range(1, 23)}
+# fixed values: Hadoop's names of zlib's levels
+ZLIB = ["NO_COMPRESSION", "BEST_SPEED", "TWO", "THREE", "FOUR", "FIVE", "SIX", "SEVEN", "EIGHT", "BEST_COMPRESSION"]
 FORMATS = {"csv": "csv", "tsv": "tsv", "json": "jsonl", "jsonl": "jsonl", "ndjson": "jsonl", "arrow": "arrow", "ipc": "arrow", "feather": "arrow", "parquet": "parquet", "parq": "parquet", "pq": "parquet"}
 
 
@@ -37,9 +40,10 @@ def parquet_options(compression: str = "zstd", level: int | None = None, row_gro
     """Options of Spark's Parquet writer."""
     out = {"compression": codec(compression)}
     if level is not None:
-        if codec(compression) != "zstd":
-            raise UsageError("only zstd has levels here")
-        out["parquet.compression.codec.zstd.level"] = str(level)
+        kind = codec(compression)
+        if kind not in LEVELS or level not in LEVELS[kind]:
+            raise UsageError(f"{compression} has no level {level}; there are {', '.join(f'{k} {min(v)} to {max(v)}' for k, v in LEVELS.items())}")
+        out |= {"zstd": {"parquet.compression.codec.zstd.level": str(level)}, "gzip": {"zlib.compress.level": ZLIB[level]}, "brotli": {}}[kind]
     if row_group_rows is not None:
         out["parquet.block.row.count.limit"] = str(row_group_rows)
     if dictionary is not None:
@@ -53,11 +57,23 @@ def parquet_options(compression: str = "zstd", level: int | None = None, row_gro
     return out
 
 
+def opened(path: str):
+    """PyArrow's file system for a path as Spark names it, and the path there."""
+    from pyarrow import fs
+
+    if "://" not in path and not path.startswith("file:"):
+        return fs.LocalFileSystem(), path
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), re.sub(r"^file:/+", "/", path)
+    return fs.FileSystem.from_uri(re.sub(r"^s3a://", "s3://", path))
+
+
 class ArrowFileWriter(DataSourceArrowWriter):
     """Writes Arrow or Parquet files with PyArrow: brotli, key-value metadata. Each task writes under a name of its own, and commit gives the files of the tasks that won their final names."""
 
     def __init__(self, options, schema):
-        self.path, self.kind = re.sub(r"^file:/+", "/", options["path"]), options.get("kind", "arrow")
+        self.path, self.kind = options["path"], options.get("kind", "arrow")
+        self.level = int(options["level"]) if options.get("level") else None
         self.compression, self.rows = options.get("compression", "zstd"), options.get("row_group_rows")
         self.kv = json.loads(options.get("kv", "{}"))
 
@@ -66,28 +82,32 @@ class ArrowFileWriter(DataSourceArrowWriter):
         import pyarrow.ipc as ipc
         import pyarrow.parquet as pq
 
-        os.makedirs(self.path, exist_ok=True)
-        tmp, out = f"{self.path}/.{uuid.uuid4().hex}.tmp", None
+        store, folder = opened(self.path)
+        store.create_dir(folder)
+        tmp, out = f"{folder}/.{uuid.uuid4().hex}.tmp", None
         for b in iterator:
             if out is None:
                 schema = b.schema.with_metadata({**(b.schema.metadata or {}), **{k: v for k, v in self.kv.items()}}) if self.kv else b.schema
-                out = pq.ParquetWriter(tmp, schema, compression=self.compression) if self.kind == "parquet" else ipc.new_file(tmp, schema)
+                sink = store.open_output_stream(tmp)
+                out = pq.ParquetWriter(sink, schema, compression=self.compression, compression_level=self.level) if self.kind == "parquet" else ipc.new_file(sink, schema)
             if self.kind == "parquet":
                 out.write_table(pa.Table.from_batches([b]).replace_schema_metadata(out.schema.metadata), **({"row_group_size": int(self.rows)} if self.rows else {}))
             else:
                 out.write_batch(b)
         if out is not None:
             out.close()
+            sink.close()
         return Written(tmp if out is not None else "")
 
     def commit(self, messages):
+        store, folder = opened(self.path)
         for k, m in enumerate(x for x in messages if x is not None and x.tmp):
-            os.replace(m.tmp, f"{self.path}/part-{k:05d}.{self.kind}")
+            store.move(m.tmp, f"{folder}/part-{k:05d}.{self.kind}")
 
     def abort(self, messages):
         for m in messages:
-            if m is not None and m.tmp and os.path.exists(m.tmp):
-                os.remove(m.tmp)
+            if m is not None and m.tmp:
+                opened(self.path)[0].delete_file(m.tmp)
 
 
 class Written(WriterCommitMessage):
@@ -108,10 +128,10 @@ class ArrowReader(DataSourceReader):
         return [ArrowPart(p) for p in self.paths]
 
     def read(self, partition) -> Iterator:
-        import pyarrow as pa
         import pyarrow.ipc as ipc
 
-        with pa.memory_map(partition.path) as f:
+        store, path = opened(partition.path)
+        with store.open_input_file(path) as f:
             reader = ipc.open_file(f)
             for k in range(reader.num_record_batches):
                 yield reader.get_batch(k)
@@ -125,11 +145,11 @@ class ArrowFiles(DataSource):
         return "arrow_files"
 
     def schema(self):
-        import pyarrow as pa
         import pyarrow.ipc as ipc
         from pyspark.sql.pandas.types import from_arrow_schema
 
-        with pa.memory_map(json.loads(self.options["paths"])[0]) as f:
+        store, path = opened(json.loads(self.options["paths"])[0])
+        with store.open_input_file(path) as f:
             return from_arrow_schema(ipc.open_file(f).schema)
 
     def reader(self, schema):
@@ -144,9 +164,11 @@ def read_arrow(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.format("arrow_files").option("paths", json.dumps(list(paths))).load()
 
 
-def arrow_files(df: DataFrame, path: str, kind: str = "arrow", compression: str = "zstd", kv: dict[str, str] | None = None, row_group_rows: int | None = None) -> None:
+def arrow_files(df: DataFrame, path: str, kind: str = "arrow", compression: str = "zstd", kv: dict[str, str] | None = None, row_group_rows: int | None = None, level: int | None = None) -> None:
     df.sparkSession.dataSource.register(ArrowFiles)
     w = df.write.format("arrow_files").mode("append").option("path", path).option("kind", kind).option("compression", compression).option("kv", json.dumps(kv or {}))
+    if level is not None:
+        w = w.option("level", str(level))
     if row_group_rows:
         w = w.option("row_group_rows", str(row_group_rows))
     w.save()
@@ -177,23 +199,32 @@ def _arrow_type(t) -> T.DataType:
     raise UsageError(f"unknown type in the schema: {t}")
 
 
+#: Standard quoting: quotes in quoted fields are doubled, blanks count. An empty field is read as null, quoted or not.
+CSV = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+
 def read(spark: SparkSession, path: str, header: bool = True, delimiter: str | None = None, infer_rows: int = 1000, schema: str | None = None) -> DataFrame:
     """A CSV, TSV, JSON-lines, Arrow or Parquet file as rows. Types of text files come from a schema, or from the first infer_rows rows; a later value that does not fit is an error."""
     kind = kind_of(path)
     if kind == "parquet":
         return spark.read.parquet(path)
     if kind == "arrow":
-        return read_arrow(spark, re.sub(r"^file:/+", "/", path))
-    first = [r.value for r in spark.read.text(path).limit(infer_rows + header * 1).collect()]  # the head of the file, for inference only
-    lines = lambda: spark.sparkContext.parallelize(first, 1)
+        return read_arrow(spark, path)
     if kind == "jsonl":
-        given = schema_from(spark, schema) if schema else spark.read.json(lines()).schema
+        first = [] if schema else [r.value for r in spark.read.text(path).limit(infer_rows).collect()]  # the head of the file, for inference only
+        given = schema_from(spark, schema) if schema else spark.read.json(spark.sparkContext.parallelize(first, 1)).schema
         return spark.read.schema(given).option("mode", "FAILFAST").json(path)
     sep = delimiter or ("\t" if kind == "tsv" else ",")
-    given = schema_from(spark, schema) if schema else spark.read.option("header", header).option("sep", sep).option("inferSchema", "true").csv(lines()).schema
-    if not header and not schema:
-        given = T.StructType([T.StructField(f"column_{k + 1}", f.dataType) for k, f in enumerate(given)])
-    return spark.read.schema(given).option("header", header).option("sep", sep).option("mode", "FAILFAST").csv(path)
+    # quoted fields may hold line breaks, so that a file is one task's; many files are many tasks'
+    text = lambda: spark.read.options(**CSV).option("sep", sep)
+    if schema:
+        given = schema_from(spark, schema)
+    else:
+        raw = text().option("header", header).option("multiLine", "true").csv(path)
+        head = [r.line for r in raw.limit(infer_rows).select(F.to_csv(F.struct(*[F.col(f"`{c}`") for c in raw.columns]), CSV | {"sep": sep}).alias("line")).collect()]
+        kinds = [f.dataType for f in text().option("inferSchema", "true").csv(spark.sparkContext.parallelize(head, 1)).schema] if head else [T.StringType()] * len(raw.columns)
+        given = T.StructType([T.StructField(c if header else f"column_{k + 1}", t) for k, (c, t) in enumerate(zip(raw.columns, kinds))])
+    return text().schema(given).option("header", header).option("multiLine", "true").option("mode", "FAILFAST").csv(path)
 
 
 def single_file(spark: SparkSession, folder: str, out: str) -> None:
@@ -215,16 +246,16 @@ def single_file(spark: SparkSession, folder: str, out: str) -> None:
 
 def write(df: DataFrame, out: str, kind: str | None = None, single: bool = True, header: bool = True, delimiter: str | None = None, kv: dict[str, str] | None = None, **parquet) -> None:
     """Write rows as one file named `out`, or as a folder of files of all tasks (single=False), which is the way for large data."""
-    kind, spark = kind or kind_of(out), df.sparkSession
+    kind, spark, out = kind or kind_of(out), df.sparkSession, spark_path(out)
     folder = f"{out}.{uuid.uuid4().hex}.parts" if single else out
     one = df.coalesce(1) if single else df
     if kind == "parquet":
         if kv or codec(parquet.get("compression", "zstd")) == "brotli":
-            arrow_files(one, folder, "parquet", codec(parquet.get("compression", "zstd")), kv, parquet.get("row_group_rows"))
+            arrow_files(one, folder, "parquet", codec(parquet.get("compression", "zstd")), kv, parquet.get("row_group_rows"), parquet.get("level"))
         else:
             one.write.options(**parquet_options(**parquet)).parquet(folder)
     elif kind in ("csv", "tsv"):
-        one.write.option("header", header).option("sep", delimiter or ("\t" if kind == "tsv" else ",")).csv(folder)
+        one.write.options(**CSV).option("header", header).option("sep", delimiter or ("\t" if kind == "tsv" else ",")).csv(folder)
     elif kind == "jsonl":
         one.write.json(folder)
     elif kind == "arrow":
@@ -244,12 +275,25 @@ def _empty(df: DataFrame, folder: str, kind: str) -> None:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     schema = to_arrow_schema(df.schema)
-    os.makedirs(folder, exist_ok=True)
-    if kind == "parquet":
-        pq.write_table(schema.empty_table(), f"{folder}/part-00000.parquet")
-    else:
-        with ipc.new_file(f"{folder}/part-00000.arrow", schema) as w:
-            w.write_table(pa.Table.from_batches([], schema))
+    store, path = opened(folder)
+    store.create_dir(path)
+    with store.open_output_stream(f"{path}/part-00000.{kind}") as f:
+        if kind == "parquet":
+            pq.write_table(schema.empty_table(), f)
+        else:
+            with ipc.new_file(f, schema) as w:
+                w.write_table(pa.Table.from_batches([], schema))
+
+
+def write_text(spark: SparkSession, out: str, lines: Iterable[str]) -> None:
+    """Lines as a file of any store that Spark can write, a line at a time."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(out)
+    stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+    try:
+        for line in lines:
+            stream.write(bytearray((line + "\n").encode()))
+    finally:
+        stream.close()
 
 
 def json_array(df: DataFrame) -> Iterator[str]:

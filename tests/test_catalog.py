@@ -30,7 +30,7 @@ def duck():
 
 
 @pytest.mark.skipif(not os.path.isdir(AT), reason="the driver's tables are not here")
-@pytest.mark.parametrize("name", ["sql_pricing_summary", "sql_window_running_sum", "sql_correlated", "merge_null_keys", "diff_keyed", "footer_stats", "column_sizes", "tail_rows", "split_n_counts", "check_contract_rows", "sort_nulls_first"])
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_query(spark, duck, name):
     df = catalog.QUERIES[name](spark, AT)
     cols = sorted(df.columns)

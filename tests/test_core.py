@@ -21,15 +21,15 @@ def write(path, rows_per_group=None, **cols):
 
 @pytest.fixture
 def base(tmp_path):
-    schema = pa.schema([pa.field("id", pa.int64(), False), ("name", pa.string()), ("score", pa.float64()), ("active", pa.bool_())])
-    t = pa.table([[1, 2, 3, 4, 5], ["Alice", "Bob", "Charlie", "Diana", "Eve"], [95.5, 87.3, 92.1, 88.7, 91.0], [True, False, True, True, False]], schema=schema)
+    schema = pa.schema([pa.field("id", pa.int64(), False), ("plant", pa.string()), ("height", pa.float64()), ("edible", pa.bool_())])
+    t = pa.table([[1, 2, 3, 4, 5], ["chard", "fern", "leek", "moss", "yew"], [40.5, 70.25, 30.0, 2.5, 900.0], [True, False, True, False, False]], schema=schema)
     pq.write_table(t, tmp_path / "base.parquet")
     return str(tmp_path / "base.parquet")
 
 
 @pytest.fixture
 def evolved(tmp_path):
-    return write(tmp_path / "evolved.parquet", id=[6, 7, 8], name=["Frank", "Grace", "Hank"], score=[78.9, 95.2, 82.1], email=["f@x.com", "g@x.com", "h@x.com"])
+    return write(tmp_path / "evolved.parquet", id=[6, 7, 8], plant=["ash", "kale", "sedge"], height=[1500.0, 55.5, 80.0], soil=["loam", "sand", "peat"])
 
 
 @pytest.fixture
@@ -47,7 +47,7 @@ def values(df, *cols):
 
 @pytest.mark.parametrize(
     "text,name",
-    [("data/orders.parquet", "orders"), ("orders*.parquet", "orders"), ("data/year=2024/", "year_2024"), ("2024.parquet", "t_2024"), ("My File-1.pq", "my_file_1"), ("***", "t"), ("s3://b/x/*.parquet", "x")],
+    [("data/orders.parquet", "orders"), ("orders*.parquet", "orders"), ("data/year=2024/", "year_2024"), ("2024.parquet", "t_2024"), ("My File-1.pq", "my_file_1"), ("***", "t"), ("C:\\data\\Sales.parquet", "sales"), ("s3://b/x/*.parquet", "x")],
 )
 def test_table_name(text, name):
     assert resolve.table_name(text) == name
@@ -96,9 +96,9 @@ def test_count_inspect_schema(spark, base, evolved):
     i = footers.inspect(spark, both[:1]).first()
     assert (i.num_rows, i.num_columns, i.encryption, i.compression) == (5, 4, "none", "SNAPPY")
     assert {r.schema_differs for r in footers.inspect_all(spark, both).collect()} == {False, True}
-    assert values(footers.schema_columns(spark, both[:1]), "name", "type", "nullable")[:2] == [("id", "INT64", False), ("name", "VARCHAR", True)]
+    assert values(footers.schema_columns(spark, both[:1]), "name", "type", "nullable")[:2] == [("id", "INT64", False), ("plant", "VARCHAR", True)]
     got = dict(values(footers.schema_diff(spark, *both), "column", "status"))
-    assert got == {"id": "nullability changed", "name": "same", "score": "same", "active": "removed", "email": "added"}
+    assert got == {"id": "nullability changed", "plant": "same", "height": "same", "edible": "removed", "soil": "added"}
 
 
 def test_stats_compare_by_type(spark, groups):
@@ -160,18 +160,18 @@ def test_cat(spark, base, evolved):
     s = src(spark, base, evolved)
     with pytest.raises(UsageError):
         combine.cat_files(spark, s)
-    out = combine.cat_files(spark, s, by_name=True, add_filename=True, sort_by="email,id")
-    assert out.columns == ["id", "name", "score", "active", "email", "_filename"] and out.count() == 8 and out.first().email is None
+    out = combine.cat_files(spark, s, by_name=True, add_filename=True, sort_by="soil,id")
+    assert out.columns == ["id", "plant", "height", "edible", "soil", "_filename"] and out.count() == 8 and out.first().soil is None
     a, b = spark.createDataFrame([(1,)], "x int"), spark.createDataFrame([("1",)], "x string")
     with pytest.raises(UsageError):
         combine.cat([("a", a), ("b", b)], by_name=True)
 
 
 def test_merge_keys(spark):
-    left = spark.createDataFrame([("a|b", "c", 10), ("a", "b|c", 20), (None, "n", 30), ("z", "z", 40)], "k1 string, k2 string, v long")
-    right = spark.createDataFrame([("a|b", "c", 100, 1), ("a", "b|c", 200, 2), (None, "n", 300, 3), (None, "n", 301, 4)], "k1 string, k2 string, w long, v long")
-    assert sorted(values(combine.merge(left, right, "k1,k2"), "v", "w")) == [(10, 100), (20, 200), (30, 300), (30, 301)]
-    assert (40, None) in values(combine.merge(left, right, "k1,k2", outer=True), "v", "w")
+    left = spark.createDataFrame([("red,", "fox", 7), ("red", ",fox", 8), (None, "owl", 9), ("elk", "elk", 6)], "k1 string, k2 string, v long")
+    right = spark.createDataFrame([("red,", "fox", 71, 1), ("red", ",fox", 82, 2), (None, "owl", 93, 3), (None, "owl", 94, 4)], "k1 string, k2 string, w long, v long")
+    assert sorted(values(combine.merge(left, right, "k1,k2"), "v", "w")) == [(7, 71), (8, 82), (9, 93), (9, 94)]
+    assert (6, None) in values(combine.merge(left, right, "k1,k2", outer=True), "v", "w")
     assert values(combine.merge(spark.createDataFrame([(1, "x")], "k int, a string"), spark.createDataFrame([("1", "y")], "k string, b string"), "k")) == [(1, "x", "y")]
     assert combine.merge(left, right.limit(0), "k1").count() == 0
     with pytest.raises(UsageError):
@@ -197,11 +197,11 @@ def test_structural_check(spark, base, tmp_path):
 
 
 def test_contract(spark, base, tmp_path):
-    rules = {"file": {"min_rows": 1000}, "columns": {"id": {"type": "INT64", "nullable": False, "min": 0.0, "max": 10.0}, "name": {"allowed": ["Alice", "Eve"]}}}
+    rules = {"file": {"min_rows": 1000}, "columns": {"id": {"type": "INT64", "nullable": False, "min": 0.0, "max": 10.0}, "plant": {"allowed": ["chard", "yew"]}}}
     s = src(spark, base)
     got = dict(values(check.contract(spark, s, rules), "name", "passed"))
-    assert got == {"file.min_rows": False, "id.exists": True, "id.type": True, "id.nullable": True, "id.min": True, "id.max": True, "name.exists": True, "name.allowed": True}
-    assert not dict(values(check.contract(spark, s, rules, read_data=True), "name", "passed"))["name.allowed"]
+    assert got == {"file.min_rows": False, "id.exists": True, "id.type": True, "id.nullable": True, "id.min": True, "id.max": True, "plant.exists": True, "plant.allowed": True}
+    assert not dict(values(check.contract(spark, s, rules, read_data=True), "name", "passed"))["plant.allowed"]
     for unit in ("s", "ms", "us"):
         p = tmp_path / f"t_{unit}.parquet"
         pq.write_table(pa.table({"t": pa.array([1_700_000_000 * {"s": 1, "ms": 1000, "us": 10**6}[unit]], pa.timestamp(unit))}), p)
@@ -215,13 +215,13 @@ def test_convert_and_rewrite(spark, base, tmp_path):
     for end in ("csv", "tsv", "jsonl", "arrow", "parquet"):
         reshape.convert(spark, [base], f"{tmp_path}/a.{end}")
         reshape.convert(spark, [f"{tmp_path}/a.{end}"], f"{tmp_path}/back_{end}.parquet", compression="gzip")
-        assert sorted(values(spark.read.parquet(f"{tmp_path}/back_{end}.parquet").select("id", "name", "score", "active")))[0] == (1, "Alice", 95.5, True)
-    (tmp_path / "n.csv").write_text("1,Alice\n2,Bob\n")
+        assert sorted(values(spark.read.parquet(f"{tmp_path}/back_{end}.parquet").select("id", "plant", "height", "edible")))[0] == (1, "chard", 40.5, True)
+    (tmp_path / "n.csv").write_text("4,plum\n9,sloe\n")
     reshape.convert(spark, [f"{tmp_path}/n.csv"], f"{tmp_path}/n.parquet", header=False)
-    assert values(spark.read.parquet(f"{tmp_path}/n.parquet")) == [(1, "Alice"), (2, "Bob")]
+    assert values(spark.read.parquet(f"{tmp_path}/n.parquet")) == [(4, "plum"), (9, "sloe")]
     s = src(spark, base)[0]
     for codec, shown in (("brotli", "BROTLI"), ("none", "UNCOMPRESSED"), (None, "SNAPPY")):
-        reshape.rewrite(spark, s, f"{tmp_path}/r.parquet", compression=codec, set_kv="owner=me", sort_by="name", row_group_rows=2)
+        reshape.rewrite(spark, s, f"{tmp_path}/r.parquet", compression=codec, set_kv="owner=me", sort_by="plant", row_group_rows=2)
         r = footers.inspect(spark, src(spark, f"{tmp_path}/r.parquet")).first()
         assert (r.compression, r.num_rows, r.key_value_metadata["owner"]) == (shown, 5, "me")
     reshape.rewrite(spark, src(spark, f"{tmp_path}/r.parquet")[0], f"{tmp_path}/q.parquet", strip_kv="owner")
@@ -230,6 +230,32 @@ def test_convert_and_rewrite(spark, base, tmp_path):
         sinks.codec("lzma")
 
 
+def test_standard_csv(spark, tmp_path):
+    odd = [(1, 'says "no"', " a "), (2, "two\nlines, a comma", ""), (3, None, "\\ \"\\"), (4, "", "\r\nx\t")]
+    df = spark.createDataFrame(odd, "n int, t string, u string")
+    for end in ("csv", "tsv"):
+        sinks.write(df, f"{tmp_path}/odd.{end}")
+        assert values(sinks.read(spark, f"{tmp_path}/odd.{end}").orderBy("n")) == [(n, t or None, u or None) for n, t, u in odd]
+    (tmp_path / "std.csv").write_text('k,v\n1,"a ""b"" c"\n2,"x\ny"\n')  # as other tools write it
+    assert values(sinks.read(spark, f"{tmp_path}/std.csv")) == [(1, 'a "b" c'), (2, "x\ny")]
+    import csv
+
+    with open(tmp_path / "odd.csv", newline="") as f:
+        assert list(csv.reader(f))[1] == ["1", 'says "no"', " a "]
+
+
+def test_levels(spark, tmp_path):
+    sizes = {}
+    for kind, level in (("gzip", 1), ("gzip", 9), ("brotli", 1), ("brotli", 9)):
+        out = tmp_path / f"{kind}{level}.parquet"
+        sinks.write(spark.range(200_000).selectExpr("cast(id * 7919 % 1000 as string) AS s"), str(out), compression=kind, level=level, dictionary=False)
+        sizes[kind, level] = out.stat().st_size
+    assert sizes["gzip", 1] > sizes["gzip", 9] and sizes["brotli", 1] > sizes["brotli", 9]
+    for kind, level in (("snappy", 1), ("gzip", 10), ("zstd", 0)):
+        with pytest.raises(UsageError):
+            sinks.parquet_options(kind, level)
+
+
 def test_parquet_options(spark, tmp_path):
     sinks.write(spark.range(6000), f"{tmp_path}/o.parquet", compression="zstd", level=9, row_group_rows=1000, stats=False)
     m = pq.ParquetFile(f"{tmp_path}/o.parquet").metadata
@@ -259,7 +285,7 @@ def test_split_and_compact(spark, tmp_path, groups):
 
 
 def test_sql(spark, base, evolved, tmp_path):
-    assert sql.query(spark, "SELECT name FROM base WHERE score > 92 ORDER BY id", [base]).count() == 2
+    assert sql.query(spark, "SELECT plant FROM base WHERE height > 60 ORDER BY id", [base]).count() == 2
     assert sql.query(spark, "SELECT count(*) AS n FROM a JOIN e ON a.id + 5 = e.id", aliases=[f"a={base}", f"e={evolved}"]).first().n == 3
     with pytest.raises(UsageError, match="base"):
         sql.query(spark, "SELECT * FROM nope", [base])
@@ -288,7 +314,7 @@ def test_cli(spark, base, evolved, groups, tmp_path, capsys):
     assert run("count", base) == (0, "5\n") and run("count", "--total-only", base, evolved) == (0, "8\n")
     code, text = run("head", "-n", "2", "-c", "id", "-f", "jsonl", base)
     assert code == 0 and [json.loads(x) for x in text.splitlines()] == [{"id": 1}, {"id": 2}]
-    assert run("t", "-n", "1", "-f", "csv", base)[1].splitlines() == ["id,name,score,active", "5,Eve,91.0,false"]
+    assert run("t", "-n", "1", "-f", "csv", base)[1].splitlines() == ["id,plant,height,edible", "5,yew,900.0,false"]
     assert json.loads(run(base)[1])[0]["num_rows"] == 5 and "VARCHAR" in run("s", base)[1]
     assert run("q", "SELECT max(id) AS m FROM groups", groups)[1].replace(" ", "") == '[\n{"m":10}\n]\n'
     assert run("schema", "diff", base, evolved)[0] == 0 and run("diff", "--data", base, base)[0] == 0 and run("size", groups)[0] == 0 and run("st", "--pages", groups)[0] == 0
@@ -296,8 +322,23 @@ def test_cli(spark, base, evolved, groups, tmp_path, capsys):
     assert run("check", base)[0] == 0 and run("check", "--contract", str(tmp_path / "c.toml"), base)[0] == 3
     assert run("cat", "--union-by-name", base, evolved, "-o", f"{tmp_path}/u.parquet")[0] == 0 and run("count", f"{tmp_path}/u.parquet")[1] == "8\n"
     assert run("merge", "--key", "id", base, base, "-o", f"{tmp_path}/m.parquet")[0] == 0 and run("slice", "--rows", "0:2", "-o", f"{tmp_path}/sl.parquet", base)[0] == 0
+    one = lambda *args: json.loads(run(*args, "-f", "json")[1])
+    assert one("count", base, evolved)["total"] == 8 and [f["rows"] for f in one("count", base, evolved)["files"]] == [5, 3]
+    size = one("size", base)
+    assert [c["name"] for c in size["columns"]] == ["id", "plant", "height", "edible"] and size["file_size_bytes"] == size["footer_bytes"] + size["data_compressed_bytes"]
+    assert [c["name"] for c in one("inspect", base)[0]["schema"]] == ["id", "plant", "height", "edible"] and len(one("inspect", base, evolved)) == 2
+    assert one("check", base)["failed"] == 0 and {c["passed"] for c in one("check", base)["checks"]} == {True}
+    both = one("diff", "--data", "--key", "id", base, evolved)
+    assert len(both["schema_diff"]) == 5 and both["metadata_diff"]["rows_a"] == 5 and both["data_diff"]["total_added"] == 3 and len(both["data_diff"]["removed"]) == 5
+    assert [(g["row_group"], len(g["columns"])) for g in one("stats", "-g", groups)] == [(0, 2), (1, 2), (2, 2)]
+    plan = one("compact", "--dry-run", base, evolved, "-o", f"{tmp_path}/packed")
+    assert plan["input_files"] == 2 and plan["input_rows"] == 8
+    assert run("cat", base, "--folder", "-o", f"{tmp_path}/parts.parquet")[0] == 0 and (tmp_path / "parts.parquet").is_dir()
+    assert run("head", "-o", f"file://{tmp_path}/rows.csv", base)[0] == 0 and (tmp_path / "rows.csv").read_text().startswith("id,plant")
+    assert run("convert", base, "-o", f"file://{tmp_path}/rows.arrow")[0] == 0 and (tmp_path / "rows.arrow").is_file()
+    assert run("q", "SELECT strpos('abc', 'c') AS at, date_bin(INTERVAL '1' HOUR, TIMESTAMP'2020-01-01 10:20:30') AS bin, regexp_match('a12b', '[0-9]+')[0] AS m", "-f", "jsonl")[1] == '{"at": 3, "bin": "2020-01-01T10:00:00", "m": "12"}\n'
     assert run("head", f"{tmp_path}/none.parquet")[0] == 2 and run("frob", "--nope")[0] == 2 and run("merge", base, base)[0] == 2
-    assert "Alice" in "\n".join(render.render(spark.read.parquet(base), "table"))
+    assert "chard" in "\n".join(render.render(spark.read.parquet(base), "table"))
 
 
 def test_footer_source_is_spread(spark, base, evolved):
