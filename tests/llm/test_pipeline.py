@@ -1,9 +1,12 @@
 """The pipeline's stages over a small set with planted cases."""
 
+import hashlib
+import math
 import random
 
 import corpus_pipeline
-from colscope.llm import mixing, registry
+import sentencepiece
+from colscope.llm import mixing, registry, sentencepiece_codec
 from colscope.llm.common import written
 from pyspark.sql import functions as F
 
@@ -82,3 +85,86 @@ def test_registry():
     names = registry.queries()
     assert {n.split("_")[0] for n in names} == {*(f"op{k}" for k in range(1, 11)), "pipeline"}
     assert set(registry.oracle_sql()) < set(names)
+
+
+def brute_mix(docs):
+    """doc_id of each copy that the mix takes of (doc_id, text, source), by water-filling and one pass in order of hashes for each round."""
+    size = {k: len((t or "").split()) for k, t, _ in docs}
+    sources = sorted({s for _, _, s in docs}, key=lambda s: (s is None, s or ""))
+    own = {s: [k for k, _, x in docs if x == s] for s in sources}
+    total = {s: sum(size[k] for k in own[s]) for s in sources}
+    weight = {s: mixing.WEIGHTS[i % 3] for i, s in enumerate(sources)}
+    target, left, share = {}, set(sources), 1.5 * sum(total.values())
+    while left:
+        level = share / sum(weight[s] for s in left)
+        full = {s for s in left if 2 * total[s] <= level * weight[s]}
+        for s in full or left:
+            target[s] = 2.0 * total[s] if full else level * weight[s]
+        share -= sum(target[s] for s in full)
+        left -= full or left
+    out = []
+    for s in sources:
+        key = {k: (int(hashlib.md5(f"7:{k}".encode()).hexdigest()[:15], 16), str(k), size[k]) for k in own[s]}
+        times = int(target[s] // total[s]) if total[s] else 0
+        gap, more, after, cap, extra = target[s] - times * total[s], set(), (-1, "", -1), math.inf, set()
+        while gap > 0:
+            over, last = True, after
+            for k in sorted((k for k in own[s] if key[k] > after and size[k] <= cap), key=key.get):
+                if size[k] > gap:
+                    over = False
+                    break
+                gap, last = gap - size[k], key[k]
+                more.add(k)
+            after = last
+            near = [(abs(size[k] - gap), key[k], k) for k in own[s] if k not in more and abs(size[k] - gap) < gap]
+            extra = {min(near)[2]} if near else set()
+            miss = min(near)[0] if near else gap
+            if over or miss <= mixing.TOLERANCE * target[s]:
+                break
+            cap = gap / 2
+        out += [k for k in own[s] for _ in range(times + (k in more | extra))]
+    return out
+
+
+def test_run_equals_brute_force(spark, tmp_path):
+    """All stages, by run(), against plain loops: planted toxic words, a dictionary of texts, all pairs' Jaccard, water-filling, the library's ids."""
+    r = random.Random(21)
+    words = [f"word{k}" for k in range(400)]
+    texts = [" ".join(r.choice(words) for _ in range(r.randint(20, 90))) for _ in range(250)]
+    toxic = set(range(0, 250, 5))
+    for k in toxic:
+        texts[k] += " vile rotten"
+    for k in range(3, 60, 10):  # copies, and near copies by a word in the middle or a longer end
+        texts[k + 100] = texts[k]
+        texts[k + 4] = " ".join([*texts[k].split(), "the", "end"])
+    long_ = [r.choice(words) for _ in range(1500)]
+    texts[201], texts[202] = " ".join(long_), " ".join([*long_[:700], "other", *long_[701:]])
+    texts[211] = texts[212] = None
+    texts[213] = ""
+    source = [None if k % 17 == 0 else ("a", "b", "b", "b", "c")[k % 7 % 5] for k in range(250)]
+    d = spark.createDataFrame([(k, t, "en", source[k], len(t or "")) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    d.repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, 1, int(k in toxic)) for k in range(250)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+
+    clean = [k for k in range(250) if k not in toxic]
+    last = {texts[k] or "": k for k in clean}
+    single = sorted(last.values())
+    sets = {}
+    for k in single:
+        w = (texts[k] or "").split()
+        sets[k] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    group = {k: k for k in single}
+    for i in single:
+        for j in single:
+            if i < j and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                a, b = sorted((group[i], group[j]))
+                group = {k: a if g == b else g for k, g in group.items()}
+    firsts = [k for k in single if group[k] == k]
+    assert len(clean) > len(single) > len(firsts)
+    model = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.model_path())
+    want = []
+    for k in brute_mix([(k, texts[k], source[k]) for k in firsts]):
+        ids = model.encode(texts[k] or "", add_eos=True)
+        want.append((k, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(model.decode(ids).encode()).hexdigest()))
+    got = [tuple(x) for x in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()]
+    assert sorted(got) == sorted(want) and len(set(got)) < len(got)
