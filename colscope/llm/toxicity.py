@@ -218,13 +218,13 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[tuple[str, st
     ids = rows.select("_id").schema[0].dataType.simpleString()
     got = rows.select("_id", "_text", *labels_).mapInArrow(chosen, f"_id {ids}, {', '.join(f'`{x}` int' for x in labels_)}, cols array<int>")
     got = got.withColumn("fold", F.pmod(F.xxhash64("_id", F.lit("fold")), F.lit(FOLDS))).drop("_id").toArrow()
-    cols = got["cols"].combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int32()))
-    lens = np.array([len(x) for x in cols], np.int64)
-    row, col = np.repeat(np.arange(len(lens)), lens), cols.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    fold = got["fold"].to_numpy()
-    n = len(lens)
+    fold, n, at = got["fold"].to_numpy(), got.num_rows, 0
     x = np.zeros((n, len(kept)), np.uint8)  # MAX_TRAIN x FEATURES at most
-    x[row, col] = 1
+    for part in got["cols"].chunks:
+        lens = part.value_lengths().to_numpy(zero_copy_only=False)
+        x[np.repeat(np.arange(at, at + len(part)), lens), part.flatten().to_numpy(zero_copy_only=False)] = 1
+        at += len(part)
+    got = got.drop_columns(["cols"])
     weights, earlier = [], np.zeros((n, 0))
     for c in names:
         label = got[f"_y_{c}"].to_pandas().to_numpy(dtype=np.float64, na_value=np.nan)
