@@ -42,3 +42,15 @@ def test_query(spark, duck, name):
 
 def test_every_oracle_has_a_query():
     assert set(catalog.ORACLES) <= set(catalog.QUERIES)
+
+
+@pytest.mark.parametrize("orders", ["(1, 'F'), (2, 'O'), (2, 'P')", "(1, 'F'), (NULL, 'F'), (2, NULL)", "(NULL, NULL)", "(1, 'F') LIMIT 0"])
+def test_anti_join_follows_sql_on_nulls_without_a_nested_loop(spark, tmp_path, orders):
+    con = duckdb.connect()
+    con.sql("CREATE TABLE customer AS SELECT * FROM (VALUES (1::BIGINT), (2), (2), (3), (NULL)) t(c_custkey)")
+    con.sql(f"CREATE TABLE orders AS SELECT o_custkey::BIGINT AS o_custkey, o_orderstatus::VARCHAR AS o_orderstatus FROM (VALUES {orders.replace(' LIMIT 0', '')}) t(o_custkey, o_orderstatus) {'LIMIT 0' if 'LIMIT' in orders else ''}")
+    for t in ("customer", "orders"):
+        con.sql(f"COPY {t} TO '{tmp_path}/{t}.parquet'")
+    df = catalog.QUERIES["sql_join_anti"](spark, str(tmp_path))
+    assert "NestedLoopJoin" not in df._jdf.queryExecution().executedPlan().toString()
+    assert sorted(str(r[0]) for r in df.collect()) == sorted(str(r[0]) for r in con.sql(catalog.ORACLES["sql_join_anti"]).fetchall())
