@@ -6,6 +6,7 @@ import math
 import os
 
 import duckdb
+import pyarrow.parquet as pq
 import pytest
 
 from colscope import catalog
@@ -54,3 +55,36 @@ def test_anti_join_follows_sql_on_nulls_without_a_nested_loop(spark, tmp_path, o
     df = catalog.QUERIES["sql_join_anti"](spark, str(tmp_path))
     assert "NestedLoopJoin" not in df._jdf.queryExecution().executedPlan().toString()
     assert sorted(str(r[0]) for r in df.collect()) == sorted(str(r[0]) for r in con.sql(catalog.ORACLES["sql_join_anti"]).fetchall())
+
+
+@pytest.fixture(scope="module")
+def folders(tmp_path_factory):
+    """The tables, of which documents and labels are folders of files, and one of these has two row groups."""
+    at = tmp_path_factory.mktemp("tables")
+    con = duckdb.connect()
+    for t in catalog.TABLES:
+        if t in ("documents", "labels"):
+            os.mkdir(at / f"{t}.parquet")
+            rows = pq.read_table(f"{AT}/{t}.parquet")
+            pq.write_table(rows.slice(0, 100), at / f"{t}.parquet" / "part-0.parquet", row_group_size=60)
+            pq.write_table(rows.slice(100), at / f"{t}.parquet" / "part-1.parquet")
+        else:
+            os.symlink(f"{AT}/{t}.parquet", at / f"{t}.parquet")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{at}/{t}.parquet{'/*' if t in ('documents', 'labels') else ''}')")
+    return str(at), con
+
+
+#: Queries whose rows tell of tables, whatever files these have.
+OF_TABLES = [
+    "count_files",
+]
+
+
+@pytest.mark.parametrize("name", OF_TABLES)
+def test_tables_of_several_files(spark, folders, name):
+    at, con = folders
+    df = catalog.QUERIES[name](spark, at)
+    cols = sorted(df.columns)
+    rel = con.sql(catalog.ORACLES[name].replace(AT, at))
+    order = [rel.columns.index(c) for c in cols]
+    assert sorted(str([r[c] for c in cols]) for r in df.collect()) == sorted(str([r[k] for k in order]) for r in rel.fetchall())
