@@ -77,6 +77,7 @@ def folders(tmp_path_factory):
 #: Queries whose rows tell of tables, whatever files these have.
 OF_TABLES = [
     "count_files",
+    "page_offsets",
 ]
 
 
