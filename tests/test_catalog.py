@@ -78,6 +78,7 @@ def folders(tmp_path_factory):
 OF_TABLES = [
     "count_files",
     "page_offsets",
+    "footer_stats",
 ]
 
 
