@@ -90,3 +90,14 @@ def test_tables_of_several_files(spark, folders, name):
     rel = con.sql(catalog.ORACLES[name].replace(AT, at))
     order = [rel.columns.index(c) for c in cols]
     assert sorted(str([r[c] for c in cols]) for r in df.collect()) == sorted(str([r[k] for k in order]) for r in rel.fetchall())
+
+
+def test_inspected_tables_of_several_files(spark, folders):
+    """Rows and columns of whole tables. The SQL takes any row group's rows, so that its num_rows differs from run to run here."""
+    at, con = folders
+    got = {r.file: r for r in catalog.QUERIES["inspect_files"](spark, at).collect()}
+    assert sorted(got) == sorted(catalog.TABLES)
+    for t, r in got.items():
+        assert r.num_rows == con.sql(f"SELECT count(*) FROM {t}").fetchall()[0][0]
+        assert r.uncompressed_bytes == con.sql(f"SELECT sum(total_uncompressed_size) FROM parquet_metadata('{at}/{t}.parquet')").fetchall()[0][0]
+    assert (got["documents"].num_columns, got["labels"].num_columns, got["documents"].compression) == (5, 3, "SNAPPY")
