@@ -79,6 +79,7 @@ OF_TABLES = [
     "count_files",
     "page_offsets",
     "footer_stats",
+    "row_group_stats",
 ]
 
 
