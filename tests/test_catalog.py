@@ -80,6 +80,7 @@ OF_TABLES = [
     "page_offsets",
     "footer_stats",
     "row_group_stats",
+    "size_totals",
 ]
 
 
