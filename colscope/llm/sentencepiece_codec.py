@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -15,7 +16,9 @@ from .common import ragged, table
 
 SPACE = "▁"
 #: Characters of text that are worked on at once, whatever the batch; a single longer text is worked on alone.
-CHARS = 2_000_000
+CHARS = 500_000
+#: Words whose ids are remembered, besides those of the texts that are worked on. What is forgotten is merged anew: a matter of memory and time, not of results.
+WORDS = 200_000
 _loaded: dict[str, "Codec"] = {}
 
 
@@ -74,7 +77,7 @@ class Codec:
         self._renew()
 
     def _renew(self) -> None:
-        self.words = Words()
+        self.words = Words(WORDS)
 
     def _learn(self) -> None:
         fresh = self.words.fresh
@@ -250,8 +253,15 @@ def _hexes(flat: np.ndarray, sizes: np.ndarray, cut: int = 0) -> list[str]:
     return [hashlib.sha256(view[e - s : max(e - s, e - cut)]).hexdigest() for e, s in zip(ends, sizes.tolist())]
 
 
-def _texts(batch: pa.RecordBatch, col: str) -> list[str]:
-    return [t or "" for t in batch.column(batch.schema.get_field_index(col)).to_pylist()]
+def _texts(batch: pa.RecordBatch, col: str) -> Iterator[tuple[int, int, list[str]]]:
+    """Ranges of rows of about CHARS characters, with their texts; only these are turned to strings at once."""
+    column = batch.column(batch.schema.get_field_index(col))
+    begin = size = 0
+    for k, n in enumerate(pc.utf8_length(column).to_pylist()):
+        size += n or 0
+        if size >= CHARS or k + 1 == len(column):
+            yield begin, k + 1, [t or "" for t in column.slice(begin, k + 1 - begin).to_pylist()]
+            begin, size = k + 1, 0
 
 
 def encode(docs: DataFrame, model: str, text_col: str = "text", ids_col: str = "ids", end: bool = True) -> DataFrame:
@@ -261,9 +271,8 @@ def encode(docs: DataFrame, model: str, text_col: str = "text", ids_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = _texts(b, text_col)
-            for i, j in pieces_of(texts):
-                flat, lens = codec(model).encode(texts[i:j], end)
+            for i, j, texts in _texts(b, text_col):
+                flat, lens = codec(model).encode(texts, end)
                 offsets = np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32)))
                 part = b.slice(i, j - i)
@@ -299,10 +308,9 @@ def round_trip(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = _texts(b, text_col)
-            for i, j in pieces_of(texts):
+            for i, j, texts in _texts(b, text_col):
                 c = codec(model)
-                flat, lens = c.encode(texts[i:j], True)
+                flat, lens = c.encode(texts, True)
                 digits, of_digits = c.decimal(flat, lens)
                 shown, of_shown = c.decode_bytes(flat, lens)
                 cols = [b.column(b.schema.get_field_index(id_col)).slice(i, j - i), pa.array(lens), pa.array(_hexes(digits, of_digits, 1), pa.string()), pa.array(_hexes(shown, of_shown), pa.string())]

@@ -661,3 +661,21 @@ def test_cascade_is_exact(spark):
     keys = np.array([r.h for r in universe.select(F.xxhash64(F.lit(seed), "key").alias("h")).collect()])
     assert cascade.holds(keys).tolist() == [k < 3000 and k % 3 == 0 for k in range(20_000)] and len(cascade.levels) >= 2
     assert url_filter.build_cascade(listed, universe, max_bytes=10) is None
+
+
+def test_sentencepiece_holds_few_words_and_texts():
+    """Memory of a worker: words beyond a bound are forgotten, long batches are cut, and neither changes the ids."""
+    import pyarrow as pa
+
+    c = sentencepiece_codec.Codec(sentencepiece_codec.model_path())
+    texts = [" ".join(f"w{1000 * k + i}" for i in range(1000)) for k in range(400)]
+    batch = pa.RecordBatch.from_arrays([pa.array([*texts, None, ""])], ["text"])
+    at, most, flat = 0, 0, []
+    for i, j, part in sentencepiece_codec._texts(batch, "text"):
+        assert i == at and part == [*texts, "", ""][i:j] and sum(map(len, part[:-1])) < 500_000
+        at = j
+        flat.append(c.encode(part)[0])
+        most = max(most, len(c.words))
+    assert at == 402 and most < 300_000
+    fresh = sentencepiece_codec.Codec(sentencepiece_codec.model_path())
+    assert [*np.concatenate(flat)] == [i for t in texts for i in fresh.encode([t])[0]]
